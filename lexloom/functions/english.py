@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import collapse_repeats, collapse_trailing_repeats
+from lexloom.functions.text import bound, collapse_repeats, collapse_trailing_repeats
 
 BUILT_IN = {w: lemma for lemma, ws in {
     "library": ("libraries",), "recursion": ("recursive", "recursively", "recursing", "recurses", "recursed"), "authentication": ("authenticating", "authenticated"),
@@ -64,9 +64,14 @@ class English:
     def _table(self) -> Column:
         return F.create_map(*[F.lit(x) for pair in self.table.items() for x in pair])
 
+    def _columns(self, token: Column, last) -> Column:
+        """The table's lemma of the token, else of its form without repeats, else of its stem, else last(stem)."""
+        table = self._table()
+        of = lambda x: F.try_element_at(table, x)
+        return bound(token, lambda t: bound(collapse_repeats(t), lambda c: bound(suffix_stripped(c), lambda s: F.coalesce(of(t), of(c), of(s), last(s)))))
+
     def canonical_column(self, token: Column) -> Column:
-        table, collapsed = self._table(), collapse_repeats(token)
-        return F.coalesce(F.try_element_at(table, token), F.try_element_at(table, collapsed), F.try_element_at(table, suffix_stripped(collapsed)))
+        return self._columns(token, lambda s: F.lit(None).cast("string"))
 
     def lemma_column(self, token: Column) -> Column:
-        return F.coalesce(self.canonical_column(token), suffix_stripped(collapse_repeats(token)))
+        return self._columns(token, lambda s: s)

@@ -23,6 +23,11 @@ def is_stop(c: Column) -> Column:
     return c.isin(*STOP_WORDS)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case ASCII words of a text; quotes vanish, all else but letters, digits and * parts words."""
     plain = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "['`\"]", "")
@@ -123,13 +128,12 @@ def saturating(count: Column) -> Column:
 def ngrams(words: Column, least: int, most: int) -> Column:
     """Contiguous n-grams of a word array, by length; single words of one character are left out."""
 
-    def of(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size(words) - F.lit(n - 1))
-        grams = F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    def of(w: Column, n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - F.lit(n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
         grams = F.filter(grams, lambda g: F.length(g) >= 2) if n == 1 else grams
-        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(least, most + 1)])
+    return bound(words, lambda w: F.concat(*[of(w, n) for n in range(least, most + 1)]))
 
 
 def clamp01(x: Column) -> Column:

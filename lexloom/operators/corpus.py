@@ -1,0 +1,290 @@
+"""Corpus compiler: acronyms, synonyms and vocabulary mined from documents, and the life of what is mined under review."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexloom.functions.text import ngrams
+
+FUNCTION_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "vs", "via", "was", "what", "when", "which", "with")
+SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+LITERALS = ("s3", "ec2", "k8s", "i18n", "l10n", "grpc", "http2", "http3", "oauth2", "ipv4", "ipv6", "utf8", "sha256", "md5")
+NOISE = "^(https?|www|html|href|class|span|div|src)$"
+EVIDENCE_CAP = 8
+
+
+def clean_text(text: Column) -> Column:
+    """A text without tags, Markdown links, addresses and entities, white space collapsed."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
+    t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(t, r"https?://\S+", " ")
+    t = F.regexp_replace(t, "&[a-zA-Z0-9#]+;", " ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def words(text: Column) -> Column:
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['`\"]", "")
+    return F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: t != "")
+
+
+def acronym_key(surface: Column) -> Column:
+    """Lower case without marks; a plural s after capitals goes."""
+    key = F.regexp_replace(F.lower(surface), "[^a-z0-9]", "")
+    return F.when(surface.rlike("^[A-Z]{2,5}s$"), F.substring(key, F.lit(1), F.length(key) - 1)).otherwise(key)
+
+
+def plausible_key(key: Column) -> Column:
+    return F.length(key).between(2, 12) & key.rlike("[a-z]") & ~key.isin(*FUNCTION_WORDS)
+
+
+def initials(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), "")
+
+
+def initials_match(key: Column, tokens: Column) -> Column:
+    """The key spells the first letters of the words, or of those that aren't small."""
+    return (initials(tokens) == key) | (initials(F.filter(tokens, lambda t: ~t.isin(*SMALL_WORDS))) == key)
+
+
+def trimmed_phrase(tokens: Column) -> Column:
+    """The words without function words at either end."""
+    at = F.filter(F.transform(tokens, lambda t, i: F.when(~t.isin(*FUNCTION_WORDS), i)), lambda i: i.isNotNull())
+    first, last = F.array_min(at), F.array_max(at)
+    return F.when(F.size(at) > 0, F.slice(tokens, first + 1, last - first + 1)).otherwise(F.array().cast("array<string>"))
+
+
+_PHRASE = r"[A-Za-z][A-Za-z0-9'/-]*(?:\s+[A-Za-z][A-Za-z0-9'/-]*){1,7}"
+_ACRONYM = r"[A-Z][A-Za-z0-9]{1,9}"
+_RULES = (
+    ("phrase-then-acronym", rf"({_PHRASE})\s*\(\s*({_ACRONYM})\s*\)", 2, 1),
+    ("acronym-then-phrase", rf"(?<![A-Za-z0-9_])({_ACRONYM})\s*\(\s*({_PHRASE})\s*\)", 1, 2),
+    ("stands-for", rf"(?<![A-Za-z0-9_])({_ACRONYM})\s+(?:stands for|is short for|is an abbreviation (?:of|for))\s+({_PHRASE})", 1, 2),
+    ("dash", rf"(?<![A-Za-z0-9_])({_ACRONYM})\s+[–—-]\s+({_PHRASE})", 1, 2),
+)
+
+
+def explicit_definitions(docs: DataFrame) -> DataFrame:
+    """(key, phrase, id, field, rule, n): where a title or body says what an acronym stands for and the initials agree."""
+    found = None
+    for field in ("title", "body"):
+        text = clean_text(F.col(field))
+        for rule, pattern, key_at, phrase_at in _RULES:
+            pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(key_at)).alias("surface"), F.regexp_extract_all(text, F.lit(pattern), F.lit(phrase_at)).alias("said"))
+            rows = docs.select("id", F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.explode(pairs).alias("p"))
+            found = rows if found is None else found.unionByName(rows)
+    rows = found.select("id", "field", "rule", F.col("p.surface").alias("surface"), acronym_key(F.col("p.surface")).alias("key"), words(F.col("p.said")).alias("said"))
+    rows = rows.where(plausible_key(F.col("key")) & F.col("surface").rlike("[A-Z].*[A-Z]"))
+    # Of the words beside an acronym the phrase is the shortest part next to it whose initials spell the key.
+    n = F.size("said")
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.when(F.col("rule") == "phrase-then-acronym", F.slice("said", F.greatest(n - k + 1, F.lit(1)), k)).otherwise(F.slice("said", F.lit(1), k)))
+    fitting = F.get(F.filter(tails, lambda t: initials_match(F.col("key"), t)), F.lit(0))
+    rows = rows.where(n >= 2).withColumn("words", trimmed_phrase(fitting)).where(F.size("words") >= 2)
+    return rows.groupBy("key", F.array_join("words", " ").alias("phrase"), "id", "field", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def acronym_surfaces(docs: DataFrame) -> DataFrame:
+    """(id, key, in_title): what looks like an acronym in a document."""
+    pattern = F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]{1,7}(?![A-Za-z0-9_])")
+    both = None
+    for field in ("title", "body"):
+        rows = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(clean_text(F.col(field)), pattern, F.lit(0)))).alias("surface"), F.lit(field == "title").alias("in_title"))
+        both = rows if both is None else both.unionByName(rows)
+    keys = both.where(F.col("surface").rlike("[A-Z].*[A-Z]")).select("id", acronym_key(F.col("surface")).alias("key"), "in_title").where(plausible_key(F.col("key")))
+    return keys.groupBy("id", "key").agg(F.max("in_title").alias("in_title"))
+
+
+def phrases(docs: DataFrame, field: str, least: int = 2, most: int = 6) -> DataFrame:
+    """(id, phrase) of the n-grams of a field that neither begin nor end with a function word."""
+    grams = F.filter(F.array_distinct(ngrams(words(clean_text(F.col(field))), least, most)), lambda g: ~F.substring_index(g, " ", 1).isin(*FUNCTION_WORDS) & ~F.substring_index(g, " ", -1).isin(*FUNCTION_WORDS))
+    return docs.select("id", F.explode(grams).alias("phrase"))
+
+
+def cooccurrences(docs: DataFrame) -> DataFrame:
+    """(key, phrase, id, rn): acronyms and phrases with their initials in one document, by an equi join on both.
+
+    The phrase must be in a title or in two documents; of each pair the first documents by id, EVIDENCE_CAP at most, are listed.
+    """
+    in_title, in_body = phrases(docs, "title").withColumn("t", F.lit(True)), phrases(docs, "body").withColumn("t", F.lit(False))
+    each = in_title.unionByName(in_body).groupBy("id", "phrase").agg(F.max("t").alias("t"))
+    keyed = each.withColumn("w", F.split("phrase", " ")).withColumn("key", F.explode(F.array_distinct(F.array(initials(F.col("w")), initials(F.filter("w", lambda x: ~x.isin(*SMALL_WORDS))))))).drop("w")
+    hits = keyed.join(acronym_surfaces(docs).select("id", "key"), ["id", "key"])
+    known = each.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.max("t").alias("titled")).where((F.col("df") >= 2) | F.col("titled")).select("phrase")
+    order = Window.partitionBy("key", "phrase").orderBy("id")
+    return hits.join(known, "phrase", "left_semi").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= EVIDENCE_CAP).select("key", "phrase", "id", "rn")
+
+
+def evidence(candidates: DataFrame, docs: DataFrame, explicit: DataFrame) -> DataFrame:
+    """Counters of each candidate (key, phrase) over all documents: where key and phrase stand, apart and together."""
+    keys, pairs = candidates.select("key").distinct(), candidates.select("phrase").distinct()
+    tokens = docs.select("id", words(clean_text(F.col("title"))).alias("tt"), words(clean_text(F.col("body"))).alias("bt"))
+    by_token = tokens.select("id", F.explode(F.array_distinct(F.concat(F.transform("tt", lambda x: F.struct(x.alias("key"), F.lit(True).alias("t"))), F.transform("bt", lambda x: F.struct(x.alias("key"), F.lit(False).alias("t")))))).alias("k")).select("id", "k.key", "k.t")
+    has_key = by_token.unionByName(acronym_surfaces(docs).select("id", "key", F.col("in_title").alias("t"))).join(keys, "key", "left_semi").groupBy("id", "key").agg(F.max("t").alias("title_key"))
+    both = phrases(docs, "title").withColumn("t", F.lit(True)).unionByName(phrases(docs, "body").withColumn("t", F.lit(False)))
+    has_phrase = both.join(pairs, "phrase", "left_semi").groupBy("id", "phrase").agg(F.max("t").alias("title_phrase"))
+    k = candidates.join(has_key, "key").select("key", "phrase", "id", "title_key")
+    p = candidates.join(has_phrase, "phrase").select("key", "phrase", "id", "title_phrase")
+    each = k.join(p, ["key", "phrase", "id"], "full")
+    hk, tk, hp, tp = F.col("title_key").isNotNull(), F.coalesce("title_key", F.lit(False)), F.col("title_phrase").isNotNull(), F.coalesce("title_phrase", F.lit(False))
+    counts = each.groupBy("key", "phrase").agg(
+        F.count_if(hk).alias("key_df"), F.count_if(tk).alias("title_key_df"), F.count_if(hp).alias("phrase_df"), F.count_if(tk & hp).alias("title_cooc"),
+        F.count_if(tk & hp & ~tp).alias("title_key_body_phrase"), F.count_if(hk & hp & ~tk).alias("body_cooc"),
+    )
+    said = explicit.groupBy("key", "phrase").agg(F.count_distinct("id").alias("explicit_docs"), F.sum("n").alias("mentions"))
+    out = candidates.join(counts, ["key", "phrase"], "left").join(said, ["key", "phrase"], "left").na.fill(0)
+    return out.withColumn("supporting", F.col("explicit_docs") + F.col("title_cooc") + F.col("body_cooc"))
+
+
+def classify(counted: DataFrame) -> DataFrame:
+    """counted with ambiguous, decision (accepted, review, rejected) and reason."""
+    c = F.col
+    fits = initials_match(c("key"), F.split("phrase", " "))
+    df = counted.withColumn("fits", fits).withColumn("ambiguous", F.sum(F.when(c("fits") & (c("explicit_docs") >= 1), 1).otherwise(0)).over(Window.partitionBy("key")) >= 2)
+    said, clear = c("explicit_docs") >= 1, ~c("ambiguous")
+    short = (F.length("key") <= 3) & ~((c("title_cooc") >= 2) | (c("supporting") >= 3) | (c("title_key_df") >= 1) & (c("phrase_df") >= 2))
+    ladder = (
+        ("rejected", "initials-mismatch", ~c("fits")),
+        ("accepted", "repeated-explicit-definition", said & clear & (c("explicit_docs") >= 2)),
+        ("accepted", "explicit-definition-with-title-or-repeat", said & clear & ((c("title_cooc") >= 1) | (c("mentions") >= 2) | (c("title_key_df") >= 1))),
+        ("review", "single-explicit-definition", said & clear),
+        ("review", "ambiguous-explicit-definition", said),
+        ("rejected", "short-token-weak-evidence", (c("title_cooc") >= 1) & short),
+        ("review", "title-backed-cooccurrence", c("title_cooc") >= 1),
+        ("review", "title-key-with-body-phrase", (c("title_key_df") >= 1) & (c("body_cooc") >= 1)),
+        ("review", "repeated-body-cooccurrence", c("body_cooc") >= 2),
+    )
+    verdict = F.struct(F.lit("rejected").alias("decision"), F.lit("initialism-coincidence").alias("reason"))
+    for decision, reason, test in reversed(ladder):
+        verdict = F.when(test, F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))).otherwise(verdict)
+    return df.withColumn("v", verdict).select("*", "v.decision", "v.reason").drop("v", "fits")
+
+
+def equivalence_id(key: Column, phrase: Column) -> Column:
+    return F.concat(F.lit("eq:"), key, F.lit(":"), F.replace(phrase, F.lit(" "), F.lit("-")))
+
+
+def mine_equivalences(docs: DataFrame) -> DataFrame:
+    """All acronym candidates of a corpus, counted, judged and with stable ids."""
+    said = explicit_definitions(docs).persist()
+    candidates = said.select("key", "phrase").unionByName(cooccurrences(docs).select("key", "phrase")).distinct().persist()
+    return classify(evidence(candidates, docs, said)).withColumn("id", equivalence_id(F.col("key"), F.col("phrase")))
+
+
+def mine_vocabulary(docs: DataFrame, concepts: DataFrame | None = None, domain: tuple[str, ...] = ()) -> DataFrame:
+    """(term, tf, df, title_df, kind, spelling): the corpus's words; rare ones that nothing vouches for are left out."""
+    tokens = docs.select("id", F.explode(F.concat(F.transform(words(clean_text(F.col("title"))), lambda t: F.struct(t.alias("term"), F.lit(1).alias("t"))), F.transform(words(clean_text(F.col("body"))), lambda t: F.struct(t.alias("term"), F.lit(0).alias("t"))))).alias("k")).select("id", "k.term", "k.t")
+    tokens = tokens.where((F.length("term") <= 32) & (F.length("term") >= 2) & ~F.col("term").rlike(NOISE))
+    per_doc = tokens.groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"))
+    counts = per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"), F.sum("t").alias("title_df"))
+    configured = F.lit(False)
+    if concepts is not None:
+        counts = counts.join(concepts.select("term", F.lit(True).alias("configured")).distinct(), "term", "left")
+        configured = F.coalesce("configured", F.lit(False))
+    c = F.col
+    literal, in_domain = c("term").isin(*LITERALS), c("term").isin(*domain) if domain else F.lit(False)
+    kind = F.when(literal, "literal").when(configured, "concept").when(c("title_df") >= 1, "title").when(in_domain, "domain").otherwise("general")
+    code = c("term").rlike("[0-9]")
+    spelling = literal | configured | (c("title_df") >= 1) | ((c("df") >= 2) & (F.length("term") >= 5) & ~c("term").isin(*FUNCTION_WORDS) & ~code)
+    return counts.withColumn("kind", kind).withColumn("spelling", spelling).where(in_domain | c("spelling") | (c("df") >= 2)).select("term", "tf", "df", "title_df", "kind", "spelling")
+
+
+def is_inflection(a: Column, b: Column) -> Column:
+    """Whether two words differ by an inflection only."""
+    suffixes = ("s", "es", "ed", "d", "ing", "er", "ers", "ly", "ion", "ions")
+    direct = [(b == F.concat(a, F.lit(s))) | (a == F.concat(b, F.lit(s))) for s in suffixes]
+    stem = lambda x: F.regexp_replace(x, "(ies|y|ing|ed|es|s|e)$", "")
+    out = stem(a) == stem(b)
+    for test in direct:
+        out = out | test
+    return out
+
+
+def alias_pairs(vocabulary: DataFrame, least_df: int = 3) -> DataFrame:
+    """(short, long): words of which one is the other cut short; joined on the first four letters, not all with all."""
+    v = vocabulary.where((F.col("df") >= 2) & F.col("term").rlike("^[a-z]+$"))
+    short = v.where((F.length("term").between(4, 8)) & (F.col("df") >= least_df)).select(F.col("term").alias("short"), F.col("title_df").alias("short_titles"), F.substring("term", 1, 4).alias("block"))
+    long = v.where(F.col("title_df") >= 1).select(F.col("term").alias("long"), F.substring("term", 1, 4).alias("block"))
+    pairs = short.join(long, "block").where(F.startswith("long", F.col("short")) & (F.length("long") >= F.length("short") + 4))
+    tail = F.substring(F.col("long"), F.length("short") + 1, F.lit(64))
+    return pairs.where(~tail.rlike("^(ing|ings|ed|er|ers|ion|ions|ation|ations|ment|ments|ness|able|ible|ally|ity)$") & ~is_inflection(F.col("short"), F.col("long"))).select("short", "long")
+
+
+def explicit_aliases(docs: DataFrame) -> DataFrame:
+    """(left, right, docs): 'x aka y' and 'x, also known as y'."""
+    pattern = F.lit(r"([A-Za-z][A-Za-z0-9-]{2,30})(?:,)?\s+(?:aka|a\.k\.a\.|also known as|also called)\s+([A-Za-z][A-Za-z0-9-]{2,30})")
+    text = clean_text(F.concat_ws(" ", "title", "body"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("l"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("r"))
+    rows = docs.select("id", F.explode(pairs).alias("p")).select("id", F.lower("p.l").alias("l"), F.lower("p.r").alias("r")).where("l <> r")
+    return rows.groupBy(F.least("l", "r").alias("left"), F.greatest("l", "r").alias("right")).agg(F.count_distinct("id").alias("docs"))
+
+
+def synonym_id(terms: Column) -> Column:
+    return F.concat(F.lit("syn:"), F.array_join(F.array_sort(terms), "|"))
+
+
+def mine_synonyms(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, terms, miner): explicit aliases first, then short forms; one row of each id, the first miner's."""
+    said = explicit_aliases(docs).select(F.array("left", "right").alias("terms"), F.lit("explicit-alias").alias("miner"), F.lit(0).alias("o"))
+    cut = alias_pairs(vocabulary).select(F.array("short", "long").alias("terms"), F.lit("short-form").alias("miner"), F.lit(1).alias("o"))
+    rows = said.unionByName(cut).withColumn("id", synonym_id(F.col("terms")))
+    return rows.groupBy("id").agg(F.min_by(F.struct(F.array_sort("terms").alias("terms"), "miner"), "o").alias("r")).select("id", "r.terms", "r.miner")
+
+
+LIFECYCLE = ("HUMAN_ACCEPTED", "HUMAN_REJECTED", "CONFLICT", "AUTO_ACCEPTED", "REVIEW_PENDING", "COMPILER_REJECTED", "ORPHANED_DECISION")
+
+
+def apply_lifecycle(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """candidates (id, key, decision) joined with human decisions (id, key, verdict), by a full outer join.
+
+    A human verdict stands; an automatic acceptance whose key a human gave to another candidate is a conflict; a
+    decision without a candidate is an orphan.
+    """
+    d = decisions.select("id", F.col("key").alias("decided_key"), "verdict")
+    taken = decisions.where("verdict = 'accept'").groupBy("key").agg(F.first("id").alias("taken_by"))
+    rows = candidates.join(d, "id", "full").join(taken, "key", "left")
+    c = F.col
+    state = (
+        F.when(c("decision").isNull() & (c("verdict") == "accept"), "HUMAN_ACCEPTED")
+        .when(c("decision").isNull(), "ORPHANED_DECISION")
+        .when(c("verdict") == "accept", "HUMAN_ACCEPTED")
+        .when(c("verdict") == "reject", "HUMAN_REJECTED")
+        .when((c("decision") == "accepted") & c("taken_by").isNotNull() & (c("taken_by") != c("id")), "CONFLICT")
+        .when(c("decision") == "accepted", "AUTO_ACCEPTED")
+        .when(c("decision") == "review", "REVIEW_PENDING")
+        .otherwise("COMPILER_REJECTED")
+    )
+    return rows.withColumn("state", state).withColumn("key", F.coalesce("key", "decided_key")).drop("decided_key")
+
+
+def trusted(rows: DataFrame) -> DataFrame:
+    """What is in use: accepted automatically or by a person; of each key the best-supported, then the least id."""
+    order = Window.partitionBy("key").orderBy(F.when(F.col("state") == "HUMAN_ACCEPTED", 0).otherwise(1), F.desc("supporting"), "id")
+    return rows.where(F.col("state").isin("HUMAN_ACCEPTED", "AUTO_ACCEPTED")).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
+def review_queue(rows: DataFrame) -> DataFrame:
+    """Pending candidates with family, score, band and canonical (the first of its family), most urgent first."""
+    c = F.col
+    points = {
+        40: c("explicit_docs") >= 1, 15: initials_match(c("key"), F.split("phrase", " ")), 12: c("phrase_df") >= 2, 8: c("supporting") >= 2,
+        -20: c("ambiguous"), -8: (F.length("key") <= 2) & (c("explicit_docs") == 0),
+    }
+    total = F.when((c("title_cooc") >= 1) & (c("body_cooc") >= 1), 25).when(c("title_key_body_phrase") >= 1, 22).when(c("title_cooc") >= 1, 10).otherwise(0)
+    for n, test in points.items():
+        total = total + F.when(test, n).otherwise(0)
+    band = F.when(c("score") >= 60, "HIGH").when(c("score") >= 35, "MEDIUM").otherwise("LOW")
+    rank = F.when(c("band") == "HIGH", 0).when(c("band") == "MEDIUM", 1).otherwise(2)
+    pending = rows.where("state = 'REVIEW_PENDING'").withColumn("family", F.concat(F.lit("family:"), c("key"))).withColumn("score", total).withColumn("band", band)
+    return pending.withColumn("urgency", rank).withColumn("canonical", F.row_number().over(Window.partitionBy("family").orderBy("urgency", F.desc("score"), "id")) == 1)
+
+
+def queue_stats(queue: DataFrame) -> DataFrame:
+    return queue.groupBy("band").agg(F.count(F.lit(1)).alias("pending"), F.count_distinct("family").alias("families"), F.count_if("canonical").alias("canonical"))
+
+
+def inspection_delta(now: DataFrame, before: DataFrame, columns: tuple[str, ...] = ("state", "reason")) -> DataFrame:
+    """(id, change): added, removed, changed or same between two snapshots, by a full outer join on id."""
+    a = now.select("id", F.struct(*columns).alias("now"))
+    b = before.select("id", F.struct(*columns).alias("before"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("now").eqNullSafe(F.col("before")), "changed").otherwise("same")
+    return a.join(b, "id", "full").withColumn("change", change)

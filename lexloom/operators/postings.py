@@ -57,27 +57,33 @@ def query_forms(analysed_queries: DataFrame) -> DataFrame:
     return analysed_queries.select("query_id", F.explode(F.array_distinct(F.concat(t, c))).alias("f")).select("query_id", "f.form", "f.kind").where("form <> ''").distinct()
 
 
-def bm25_scores(forms: DataFrame, posting: DataFrame, stats: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(query_id, id, score, sources): BM25 sums of forms (query_id, form, kind) over all four fields and prefixes.
+def bm25_scores(forms: DataFrame, posting: DataFrame, stats: DataFrame, prefixes: bool = True) -> DataFrame:
+    """(query_id, id, score, sources): BM25 sums of forms (query_id, form, kind) over the posting's fields and prefixes.
 
     Only postings of the asked terms are read: they are joined on the term, document frequencies likewise.
     """
     asked = forms.select("form").distinct()
     df = posting.join(asked, posting["term"] == asked["form"], "left_semi").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     exact = forms.withColumnRenamed("form", "term").join(df, "term").withColumn("weight", _weight(WEIGHTS)).withColumn("source", _source())
-    terms = posting.where(F.col("field").isin("title", "body")).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    starts = forms.where(~all_digits(F.col("form")) & (F.length("form") >= 3) & (F.col("kind") != "acronym"))
-    pairs = starts.withColumn("block", F.substring("form", 1, 3)).join(terms.withColumn("block", F.substring("term", 1, 3)), "block").where((F.col("term") != F.col("form")) & allow_prefix(F.col("form"), F.col("term")))
-    rank = F.row_number().over(Window.partitionBy("query_id", "form", "kind", "field").orderBy("term"))
-    prefixes = pairs.withColumn("rn", rank).where(F.col("rn") <= PREFIX_TERMS).withColumn("weight", _weight(PREFIX_WEIGHTS)).withColumn("source", F.when(F.col("field") == "title", "title-token-prefix").otherwise("indexed-lexical"))
     columns = ["query_id", "field", "term", "df", "weight", "source"]
-    wanted = exact.select(*columns).unionByName(prefixes.select(*columns))
+    wanted = exact.select(*columns)
+    if prefixes:
+        wanted = wanted.unionByName(_prefix_terms(forms, posting).select(*columns))
     hits = wanted.join(posting.select("field", "term", "id", "tf", "dl"), ["field", "term"]).crossJoin(F.broadcast(stats))
     average = F.when(F.startswith(F.col("field"), F.lit("title")), F.col("title_avg")).otherwise(F.col("body_avg"))
     score = F.col("weight") * idf(F.col("df"), F.col("n")) * bm25_tf(F.col("tf"), F.col("dl"), average)
     return hits.groupBy("query_id", "id").agg(F.sum(score).alias("score"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
+def _prefix_terms(forms: DataFrame, posting: DataFrame) -> DataFrame:
+    """Terms of titles and bodies that a form begins, PREFIX_TERMS of each form and field in order."""
+    terms = posting.where(F.col("field").isin("title", "body")).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    starts = forms.where(~all_digits(F.col("form")) & (F.length("form") >= 3) & (F.col("kind") != "acronym"))
+    pairs = starts.withColumn("block", F.substring("form", 1, 3)).join(terms.withColumn("block", F.substring("term", 1, 3)), "block").where((F.col("term") != F.col("form")) & allow_prefix(F.col("form"), F.col("term")))
+    rank = F.row_number().over(Window.partitionBy("query_id", "form", "kind", "field").orderBy("term"))
+    return pairs.withColumn("rn", rank).where(F.col("rn") <= PREFIX_TERMS).withColumn("weight", _weight(PREFIX_WEIGHTS)).withColumn("source", F.when(F.col("field") == "title", "title-token-prefix").otherwise("indexed-lexical"))
+
+
 def _weight(weights: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("field"))
 
