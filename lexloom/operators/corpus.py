@@ -100,13 +100,18 @@ def phrases(docs: DataFrame, field: str, least: int = 2, most: int = 6) -> DataF
     return docs.select("id", F.explode(grams).alias("phrase"))
 
 
-def cooccurrences(docs: DataFrame) -> DataFrame:
+def phrases_everywhere(docs: DataFrame) -> DataFrame:
+    """(id, phrase, title_phrase) of titles and bodies."""
+    both = phrases(docs, "title").withColumn("t", F.lit(True)).unionByName(phrases(docs, "body").withColumn("t", F.lit(False)))
+    return both.groupBy("id", "phrase").agg(F.max("t").alias("title_phrase"))
+
+
+def cooccurrences(docs: DataFrame, each: DataFrame | None = None) -> DataFrame:
     """(key, phrase, id, rn): acronyms and phrases with their initials in one document, by an equi join on both.
 
     The phrase must be in a title or in two documents; of each pair the first documents by id, EVIDENCE_CAP at most, are listed.
     """
-    in_title, in_body = phrases(docs, "title").withColumn("t", F.lit(True)), phrases(docs, "body").withColumn("t", F.lit(False))
-    each = in_title.unionByName(in_body).groupBy("id", "phrase").agg(F.max("t").alias("t"))
+    each = (phrases_everywhere(docs) if each is None else each).withColumnRenamed("title_phrase", "t")
     keyed = each.withColumn("w", F.split("phrase", " ")).withColumn("key", F.explode(F.array_distinct(F.array(initials(F.col("w")), initials(F.filter("w", lambda x: ~x.isin(*SMALL_WORDS))))))).drop("w")
     hits = keyed.join(acronym_surfaces(docs).select("id", "key"), ["id", "key"])
     known = each.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.max("t").alias("titled")).where((F.col("df") >= 2) | F.col("titled")).select("phrase")
@@ -114,14 +119,13 @@ def cooccurrences(docs: DataFrame) -> DataFrame:
     return hits.join(known, "phrase", "left_semi").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= EVIDENCE_CAP).select("key", "phrase", "id", "rn")
 
 
-def evidence(candidates: DataFrame, docs: DataFrame, explicit: DataFrame) -> DataFrame:
+def evidence(candidates: DataFrame, docs: DataFrame, explicit: DataFrame, each_phrase: DataFrame | None = None) -> DataFrame:
     """Counters of each candidate (key, phrase) over all documents: where key and phrase stand, apart and together."""
     keys, pairs = candidates.select("key").distinct(), candidates.select("phrase").distinct()
     tokens = docs.select("id", words(clean_text(F.col("title"))).alias("tt"), words(clean_text(F.col("body"))).alias("bt"))
     by_token = tokens.select("id", F.explode(F.array_distinct(F.concat(F.transform("tt", lambda x: F.struct(x.alias("key"), F.lit(True).alias("t"))), F.transform("bt", lambda x: F.struct(x.alias("key"), F.lit(False).alias("t")))))).alias("k")).select("id", "k.key", "k.t")
     has_key = by_token.unionByName(acronym_surfaces(docs).select("id", "key", F.col("in_title").alias("t"))).join(keys, "key", "left_semi").groupBy("id", "key").agg(F.max("t").alias("title_key"))
-    both = phrases(docs, "title").withColumn("t", F.lit(True)).unionByName(phrases(docs, "body").withColumn("t", F.lit(False)))
-    has_phrase = both.join(pairs, "phrase", "left_semi").groupBy("id", "phrase").agg(F.max("t").alias("title_phrase"))
+    has_phrase = (phrases_everywhere(docs) if each_phrase is None else each_phrase).join(pairs, "phrase", "left_semi")
     k = candidates.join(has_key, "key").select("key", "phrase", "id", "title_key")
     p = candidates.join(has_phrase, "phrase").select("key", "phrase", "id", "title_phrase")
     each = k.join(p, ["key", "phrase", "id"], "full")
@@ -166,8 +170,9 @@ def equivalence_id(key: Column, phrase: Column) -> Column:
 def mine_equivalences(docs: DataFrame) -> DataFrame:
     """All acronym candidates of a corpus, counted, judged and with stable ids."""
     said = explicit_definitions(docs).persist()
-    candidates = said.select("key", "phrase").unionByName(cooccurrences(docs).select("key", "phrase")).distinct().persist()
-    return classify(evidence(candidates, docs, said)).withColumn("id", equivalence_id(F.col("key"), F.col("phrase")))
+    each = phrases_everywhere(docs).persist()
+    candidates = said.select("key", "phrase").unionByName(cooccurrences(docs, each).select("key", "phrase")).distinct().persist()
+    return classify(evidence(candidates, docs, said, each)).withColumn("id", equivalence_id(F.col("key"), F.col("phrase")))
 
 
 def mine_vocabulary(docs: DataFrame, concepts: DataFrame | None = None, domain: tuple[str, ...] = ()) -> DataFrame:
