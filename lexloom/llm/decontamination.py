@@ -69,6 +69,63 @@ def myers(pattern: str, text: str, budget: int, masks: dict[str, int] | None = N
     return best
 
 
+def anchored(masks: dict[str, int], m: int, text: str, budget: int) -> int:
+    """The least distance of a pattern of m characters from any beginning of text; more than budget where it exceeds it."""
+    if not m:
+        return 0
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, best = full, 0, m, m
+    get = masks.get
+    for c in text:
+        eq = get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (full & ~(xh | pv))
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+            if score < best:
+                best = score
+        ph = ph << 1 | 1
+        pv = (mh << 1 & full) | (full & ~(xv | ph))
+        mv = ph & xv & full
+    return best
+
+
+class Item:
+    """A benchmark item, its budget, and the parts beside each piece that an alignment must get through within it."""
+
+    __slots__ = ("id", "text", "budget", "masks", "beside")
+
+    def __init__(self, item_id: int, text: str, budget: int) -> None:
+        self.id, self.text, self.budget, self.masks = item_id, text, budget, masks_of(text)
+        self.beside: dict[int, tuple] = {}
+
+    def parts(self, at: int, n: int) -> tuple:
+        """(masks, length, forward) of what stands after and before the piece, the longer first, cut where random text has
+        used up the budget."""
+        if at not in self.beside:
+            reach = 2 * self.budget + 8
+            after, before = self.text[at + n : at + n + reach], self.text[:at][::-1][:reach]
+            both = [(masks_of(after), len(after), True), (masks_of(before), len(before), False)]
+            self.beside[at] = tuple(sorted(both, key=lambda x: -x[1]))
+        return self.beside[at]
+
+    def may_match(self, t: str, start: int, at: int, n: int) -> bool:
+        """False only if no alignment with the piece at `at` found at t[start:] stays within the budget: the distances of the
+        parts beside it are a lower bound, as a match is anchored at the piece on either side."""
+        left = self.budget
+        for masks, m, forward in self.parts(at, n):
+            reach = m + left
+            side = t[start + n : start + n + reach] if forward else t[max(0, start - reach) : start][::-1]
+            left -= anchored(masks, m, side, left)
+            if left < 0:
+                return False
+        return True
+
+
 def build(items: Iterable[tuple[int, str]], rate: float = RATE, least_piece: int = LEAST_PIECE):
     """The automaton of all pieces and what it needs of each item; items without text are left out."""
     import ahocorasick
@@ -81,7 +138,7 @@ def build(items: Iterable[tuple[int, str]], rate: float = RATE, least_piece: int
         k = budget_of(len(t), rate, least_piece)
         for at, piece in pieces_of(t, k):
             owners.setdefault(piece, []).append((len(known), at))
-        known.append((item_id, t, k, masks_of(t)))
+        known.append(Item(item_id, t, k))
     automaton = ahocorasick.Automaton()
     for piece, own in owners.items():
         automaton.add_word(piece, (len(piece), own))
@@ -97,10 +154,13 @@ def find(text: str, automaton, known) -> list[tuple[int, int, int]]:
     t = normalise(text)
     spans: dict[int, list[list[int]]] = {}
     for end, (n, own) in automaton.iter(t):
+        start = end - n + 1
         for item, at in own:
-            _, pattern, k, _ = known[item]
-            a = end - n + 1 - at - k
-            b = a + len(pattern) + 2 * k
+            it = known[item]
+            if not it.may_match(t, start, at, n):
+                continue
+            a = start - at - it.budget
+            b = a + len(it.text) + 2 * it.budget
             held = spans.setdefault(item, [])
             if held and a <= held[-1][1] and b >= held[-1][0]:
                 held[-1][0], held[-1][1] = min(a, held[-1][0]), max(b, held[-1][1])
@@ -108,15 +168,14 @@ def find(text: str, automaton, known) -> list[tuple[int, int, int]]:
                 held.append([a, b])
     out = []
     for item, places in spans.items():
-        item_id, pattern, k, masks = known[item]
-        best = None
+        it, best = known[item], None
         for a, b in places:
             a = max(0, a)
-            hit = myers(pattern, t[a:b], k, masks)
+            hit = myers(it.text, t[a:b], it.budget, it.masks)
             if hit and (best is None or (hit[0], a + hit[1]) < best):
                 best = (hit[0], a + hit[1])
         if best:
-            out.append((item_id, *best))
+            out.append((it.id, *best))
     return sorted(out)
 
 
