@@ -24,7 +24,7 @@ SMALL = 64
 DEPTH = 3
 _SKETCH = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.int64()), ("mins", pa.binary()), ("grams", pa.binary())])
 _SKETCH_KIND = "rk bigint, doc_id bigint, set_key bigint, mins binary, grams binary"
-_SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def gram_set(text: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -39,7 +39,7 @@ def minwise(grams: np.ndarray, n: int) -> np.ndarray:
     """n minwise hashes (32 bits) of a set of grams."""
     if not len(grams):
         return np.zeros(n, np.uint32)
-    a, b = _SEEDS[:n] | np.uint64(1), _SEEDS[512 : 512 + n]
+    a, b = SEEDS[:n] | np.uint64(1), SEEDS[512 : 512 + n]
     out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     g = grams.astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -88,7 +88,7 @@ def runs_for(recall: float, depth: int) -> int:
 def _chosen(path: np.ndarray, coordinates: int, threshold: float) -> np.ndarray:
     """Which coordinates the node of each path samples: each with probability 1 / (threshold * coordinates)."""
     with np.errstate(over="ignore"):
-        draw = mix(path[:, None] ^ (_SEEDS[None, :coordinates] * np.uint64(0xA0761D6478BD642F)))
+        draw = mix(path[:, None] ^ (SEEDS[None, :coordinates] * np.uint64(0xA0761D6478BD642F)))
     return draw < np.uint64(min(2**64 - 1, int(2**64 / (threshold * coordinates))))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import LOWER, buffers, distinct, hash_grams, hash_words, mix, row_key, words, written
-from lexloom.llm.ngram_join import components, minwise
+from lexloom.llm.ngram_join import SEEDS, components
 
 LEAST_WORDS = 20
 GRAM = 3
@@ -22,6 +22,29 @@ _PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa
 _PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, n_words int, key bigint, bands array<bigint>"
 
 
+def minwise_rows(h: np.ndarray, edges: np.ndarray, gram: int, n: int) -> np.ndarray:
+    """n minwise hashes of each run [edges[2k], edges[2k + 1]) of words, for all runs of a text at once."""
+    begin, end = edges[::2], edges[1::2]
+    size = np.maximum(end - begin - gram + 1, 1)
+    grams = hash_grams(h, gram)
+    flat = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    g = mix((grams[np.minimum(flat, len(grams) - 1)] >> np.uint64(32)) + np.uint64(0x9E3779B97F4A7C15))
+    a, b = SEEDS[:n] | np.uint64(1), SEEDS[512 : 512 + n]
+    start = np.cumsum(size) - size
+    out = np.empty((n, len(size)), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out[j] = np.minimum.reduceat(g * a[j] + b[j], start)
+    return (out.T >> np.uint64(32)).astype(np.uint32)
+
+
+def edges_of(text: np.ndarray, start: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the lines that have enough words, and where their words begin and end."""
+    cut = np.concatenate(([0], np.searchsorted(start, np.flatnonzero(text == 10)), [len(start)]))
+    k = np.flatnonzero(np.diff(cut) >= least_words)
+    return k, np.column_stack((cut[k], cut[k + 1])).ravel()
+
+
 def paragraphs(text: np.ndarray, least_words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(number, word hashes in lower case) of the lines of a text that have enough words."""
     start, end = words(text)
@@ -37,16 +60,24 @@ def grams_of(h: np.ndarray, gram: int) -> np.ndarray:
     return distinct((hash_grams(h, min(gram, len(h))) >> np.uint64(32)).astype(np.uint32))
 
 
-def key_of(h: np.ndarray) -> int:
-    return int(hash_grams(h, len(h)).view(np.int64)[0]) if len(h) else 0
+def run_keys(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words of each run."""
+    begin, end = edges[::2], edges[1::2]
+    size = end - begin
+    start = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(start, size)
+    with np.errstate(over="ignore"):
+        terms = h[place + np.repeat(begin, size)] * mix(place.astype(np.uint64) + np.uint64(1))
+        return mix(np.add.reduceat(terms, start) + size.astype(np.uint64)).view(np.int64)
 
 
 def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    m = mins.reshape(bands, rows).astype(np.uint64)
+    """A key of each band of each row of minwise hashes."""
+    m = mins.reshape(len(mins), bands, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
-        out = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         for r in range(rows):
-            out = mix(out ^ m[:, r])
+            out = mix(out ^ m[:, :, r])
     return out.view(np.int64)
 
 
@@ -56,10 +87,18 @@ def _places(least_words: int, gram: int, bands: int, rows: int):
             offsets, data = buffers(batch.column("text"))
             row, number, size, keys, all_bands = [], [], [], [], []
             for i in range(len(batch)):
-                for k, h in paragraphs(data[offsets[i] : offsets[i + 1]], least_words):
-                    row.append(i), number.append(k), size.append(len(h)), keys.append(key_of(h))
-                    all_bands.append(band_keys(minwise(grams_of(h, gram), bands * rows), bands, rows))
+                text = data[offsets[i] : offsets[i + 1]]
+                start, end = words(text)
+                if len(start) < least_words:
+                    continue
+                k, edges = edges_of(text, start, least_words)
+                if not len(k):
+                    continue
+                h = hash_words(text, start, end, LOWER)
+                row.append(np.full(len(k), i)), number.append(k), size.append(edges[1::2] - edges[::2])
+                keys.append(run_keys(h, edges)), all_bands.append(band_keys(minwise_rows(h, edges, min(gram, least_words), bands * rows), bands, rows).ravel())
             if row:
+                row, number, size, keys = map(np.concatenate, (row, number, size, keys))
                 r = pa.array(row, pa.int64())
                 nested = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * bands, bands, dtype=np.int32)), pa.array(np.concatenate(all_bands)))
                 yield pa.RecordBatch.from_arrays([batch.column("rk").take(r), batch.column("doc_id").cast(pa.int64()).take(r), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.int64()), nested], schema=_PLACE)
