@@ -22,8 +22,8 @@ RECALL = 0.97
 #: Buckets of so many sets are compared by brute force; larger ones are split up to so many times.
 SMALL = 64
 DEPTH = 3
-_SKETCH = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.int64()), ("mins", pa.binary()), ("grams", pa.binary())])
-_SKETCH_KIND = "rk bigint, doc_id bigint, set_key bigint, mins binary, grams binary"
+_SKETCH = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.int64()), ("mins", pa.binary())])
+_SKETCH_KIND = "rk bigint, doc_id bigint, set_key bigint, mins binary"
 SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -53,23 +53,22 @@ def _sketch(gram: int, coordinates: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
-            keys, mins, grams = [], [], []
+            keys, mins = [], []
             for i in range(len(batch)):
                 g = gram_set(data[offsets[i] : offsets[i + 1]], gram)
                 if not len(g):
-                    keys.append(None), mins.append(None), grams.append(None)
+                    keys.append(None), mins.append(None)
                     continue
                 with np.errstate(over="ignore"):
                     keys.append(int(mix(np.array([mix(g.astype(np.uint64)).sum() + np.uint64(len(g))], np.uint64)).view(np.int64)[0]))
                 mins.append(minwise(g, coordinates).tobytes())
-                grams.append(g.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(mins, pa.binary()), pa.array(grams, pa.binary())], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(mins, pa.binary())], schema=_SKETCH)
 
     return sketch
 
 
 def sketches(docs: DataFrame, gram: int = GRAM, coordinates: int = COORDINATES) -> DataFrame:
-    """(rk, doc_id, set_key, mins, grams) of the documents that have any word."""
+    """(rk, doc_id, set_key, mins) of the documents that have any word."""
     return docs.select(row_key().alias("rk"), "doc_id", "text").mapInArrow(_sketch(gram, coordinates), _SKETCH_KIND).where(F.col("set_key").isNotNull())
 
 
@@ -202,20 +201,74 @@ def _brute(threshold: float):
     return brute
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, coordinates: int = COORDINATES) -> DataFrame:
-    """(a, b, jaccard): pairs of keys a < b of distinct sets (set_key, mins, grams) at the threshold or above."""
-    found = written(buckets(sets.select("set_key", "mins"), threshold, recall, small, depth, coordinates).select("path", F.explode("keys").alias("set_key")), "buckets")
-    rows = found.join(sets.select("set_key", "grams"), "set_key").repartition("path").sortWithinPartitions("path", "set_key")
+#: A pair whose minwise hashes agree by this much less than the threshold is not compared: four standard deviations.
+MARGIN = 0.25
+
+
+def _likely(coordinates: int, least: float):
+    """Of each bucket the sets that have a partner in it with so many equal minwise hashes, as one array."""
+
+    def of(keys: list[int], mins: list[bytes]) -> list[int]:
+        m = np.frombuffer(b"".join(mins), np.uint32).reshape(len(keys), coordinates)
+        keep = np.zeros(len(keys), bool)
+        for i in range(0, len(keys), 64):
+            equal = np.zeros((len(m[i : i + 64]), len(m)), np.int16)
+            for c in range(coordinates):
+                equal += m[i : i + 64, c, None] == m[None, :, c]
+            equal[np.arange(len(equal)), np.arange(i, i + len(equal))] = -1
+            keep[i : i + 64] = equal.max(1) >= least * coordinates
+        return sorted(k for k, x in zip(keys, keep) if x)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, mins = None, [], []
+        out_paths, out_keys = [], []
+        for batch in batches:
+            for p, k, m in zip(batch.column("path").to_pylist(), batch.column("set_key").to_pylist(), batch.column("mins").to_pylist()):
+                if p != held:
+                    if len(keys) > 1 and (kept := of(keys, mins)):
+                        out_paths.append(held), out_keys.append(kept)
+                    held, keys, mins = p, [], []
+                keys.append(k), mins.append(m)
+            if out_paths:
+                yield pa.RecordBatch.from_arrays([pa.array(out_paths, pa.int64()), pa.array(out_keys, pa.list_(pa.int64()))], ["path", "keys"])
+                out_paths, out_keys = [], []
+        if len(keys) > 1 and (kept := of(keys, mins)):
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([kept], pa.list_(pa.int64()))], ["path", "keys"])
+
+    return likely
+
+
+def _gram_sets(gram: int):
+    def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = buffers(batch.column("text"))
+            grams = [gram_set(data[offsets[i] : offsets[i + 1]], gram).tobytes() for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(grams, pa.binary())], ["set_key", "grams"])
+
+    return gram_sets
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, coordinates: int = COORDINATES) -> DataFrame:
+    """(a, b, jaccard): pairs of keys a < b of distinct sets (set_key, rk, mins) at the threshold or above.
+
+    Sets whose minwise hashes are far from those of all others in a bucket leave it; only the texts of the others are read
+    for their grams, one of each set.
+    """
+    shared = buckets(sets.select("set_key", "mins"), threshold, recall, small, depth, coordinates).select("path", F.explode("keys").alias("set_key"))
+    placed = shared.join(sets.select("set_key", "mins"), "set_key").repartition("path").sortWithinPartitions("path")
+    likely = placed.mapInArrow(_likely(coordinates, max(threshold - MARGIN, 1 / coordinates)), "path bigint, keys array<bigint>")
+    found = written(likely.groupBy("keys").agg(F.min("path").alias("path")).select("path", F.explode("keys").alias("set_key")), "buckets")
+    wanted = sets.select("set_key", "rk").join(found.select("set_key").distinct(), "set_key", "left_semi")
+    grams = docs.select(row_key().alias("rk"), "text").join(wanted, "rk").select("set_key", "text").mapInArrow(_gram_sets(gram), "set_key bigint, grams binary")
+    rows = found.join(grams, "set_key").repartition("path").sortWithinPartitions("path", "set_key")
     return rows.mapInArrow(_brute(threshold), "a bigint, b bigint, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def _prepared(docs: DataFrame, gram: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
-    """(rk, doc_id, set_key) of every document, and one (set_key, mins, grams) for each distinct set."""
-    all_rows = sketches(docs, gram, coordinates)
-    members = written(all_rows.select("rk", "doc_id", "set_key").distinct(), "members")
-    firsts = members.groupBy("set_key").agg(F.min("rk").alias("rk"))
-    sets = written(all_rows.join(firsts, ["rk", "set_key"], "left_semi").groupBy("set_key").agg(F.first("mins").alias("mins"), F.first("grams").alias("grams")), "sets")
-    return members, sets
+    """(rk, doc_id, set_key, mins) of every document, and one (set_key, rk, mins) for each distinct set."""
+    members = written(sketches(docs, gram, coordinates), "members")
+    sets = written(members.groupBy("set_key").agg(F.min("rk").alias("rk"), F.first("mins").alias("mins")), "sets")
+    return members.select("rk", "doc_id", "set_key"), sets
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, coordinates: int = COORDINATES) -> DataFrame:
@@ -228,7 +281,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     members, sets = _prepared(docs, gram, coordinates)
     named = members.where("doc_id is not null").select("doc_id", "set_key").distinct()
     a, b = named.withColumnsRenamed({"doc_id": "doc_a", "set_key": "a"}), named.withColumnsRenamed({"doc_id": "doc_b", "set_key": "b"})
-    near = similar_sets(sets, threshold, recall, small, depth, coordinates).join(a, "a").join(b, "b").where("doc_a != doc_b")
+    near = similar_sets(docs, sets, gram, threshold, recall, small, depth, coordinates).join(a, "a").join(b, "b").where("doc_a != doc_b")
     near = near.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
     several = named.groupBy("set_key").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1")
     same = several.select("ids", F.posexplode("ids").alias("i", "doc_a")).select("doc_a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("doc_b"), F.lit(1.0).alias("jaccard"))
@@ -264,7 +317,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, gram: int =
     rows that repeat one stays. Documents without words are no copies of one another and all stay.
     """
     members, sets = _prepared(docs, gram, coordinates)
-    roots = components(similar_sets(sets, threshold, recall, small, depth, coordinates))
+    roots = components(similar_sets(docs, sets, gram, threshold, recall, small, depth, coordinates))
     grouped = members.join(roots, members["set_key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set_key"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rk"))
     kept = grouped.groupBy("root").agg(F.min_by("rk", order).alias("_rk")).select("_rk")
