@@ -257,10 +257,11 @@ def similar_sets(docs: DataFrame, sets: DataFrame, gram: int = GRAM, threshold:
     shared = buckets(sets.select("set_key", "mins"), threshold, recall, small, depth, coordinates).select("path", F.explode("keys").alias("set_key"))
     placed = shared.join(sets.select("set_key", "mins"), "set_key").repartition("path").sortWithinPartitions("path")
     likely = placed.mapInArrow(_likely(coordinates, max(threshold - MARGIN, 1 / coordinates)), "path bigint, keys array<bigint>")
-    found = written(likely.groupBy("keys").agg(F.min("path").alias("path")).select("path", F.explode("keys").alias("set_key")), "buckets")
+    found = written(likely.groupBy("keys").agg(F.min("path").alias("path")).select("path", F.get("keys", F.lit(0)).alias("hub"), F.explode("keys").alias("set_key")), "buckets")
     wanted = sets.select("set_key", "rk").join(found.select("set_key").distinct(), "set_key", "left_semi")
     grams = docs.select(row_key().alias("rk"), "text").join(wanted, "rk").select("set_key", "text").mapInArrow(_gram_sets(gram), "set_key bigint, grams binary")
-    rows = found.join(grams, "set_key").repartition("path").sortWithinPartitions("path", "set_key")
+    # Buckets with one least set mostly hold one group of copies: in one task, their pairs are combined before the shuffle.
+    rows = found.join(grams, "set_key").repartition("hub").sortWithinPartitions("hub", "path", "set_key")
     return rows.mapInArrow(_brute(threshold), "a bigint, b bigint, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
