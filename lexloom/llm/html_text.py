@@ -1,4 +1,4 @@
-"""HTML extraction by composite text density: the densest subtree of the DOM, link-adjusted, with body-path thresholds."""
+"""HTML extraction by composite text density: the densest subtrees of the DOM, link-adjusted, down to the body-path threshold."""
 
 from __future__ import annotations
 
@@ -152,6 +152,33 @@ def _text(x: Node) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _chosen(body: Node, nodes: list[Node], threshold: float) -> set[int]:
+    """The ids of the maximum-sum nodes under the body and, from it down, under every node that reaches the threshold.
+
+    A node of running text only stands for the block that it is part of, so no paragraph is cut within.
+    """
+    top: dict[int, Node] = {}
+    blocks: dict[int, bool] = {}
+    for x in reversed(nodes):
+        best = x
+        for c in x.children:
+            if top[id(c)].sum > best.sum:
+                best = top[id(c)]
+        top[id(x)] = best
+        blocks[id(x)] = x.tag in _BLOCK or any(blocks[id(c)] for c in x.children)
+    chosen: set[int] = set()
+    stack = [body]
+    while stack:
+        x = stack.pop()
+        best = top[id(x)]
+        while best is not x and not blocks[id(best)] and best.parent is not body:
+            best = best.parent
+        chosen.add(id(best))
+        if best is not x:
+            stack.extend(c for c in x.children if c.density >= threshold)
+    return chosen
+
+
 def extract(page: str) -> tuple[str, str, float]:
     """(title, text, density sum of the chosen node) of a page."""
     root = parse(page)
@@ -169,21 +196,24 @@ def extract(page: str) -> tuple[str, str, float]:
         if up is body:
             break
         up = up.parent
-    kept = Node("div", None)
-    stack = [(best, kept)]
-    # Of the chosen subtree, blocks below the least density on the path to the body go, unless a part of them reaches it.
+    nodes = _ordered(body)
+    chosen = _chosen(body, nodes, threshold)
+    # Of a chosen subtree, blocks below the threshold go, unless a part of them reaches it.
     reaches: dict[int, bool] = {}
-    for x in reversed(_ordered(best)):
+    for x in reversed(nodes):
         reaches[id(x)] = x.density >= threshold or any(reaches[id(c)] for c in x.children)
+    kept = Node("div", None)
+    stack = [(body, kept, id(body) in chosen)]
     while stack:
-        x, copy = stack.pop()
+        x, copy, whole = stack.pop()
         for p in x.parts:
             if isinstance(p, str):
-                copy.parts.append(p)
-            elif p.tag == "br" or p.tag not in _HIDDEN and (p.tag not in _BLOCK or reaches[id(p)] or p.link_chars * 2 < p.chars):
+                if whole:
+                    copy.parts.append(p)
+            elif not whole or p.tag == "br" or p.tag not in _HIDDEN and (p.tag not in _BLOCK or reaches[id(p)] or p.link_chars * 2 < p.chars):
                 new = Node(p.tag, copy)
                 copy.parts.append(new)
-                stack.append((p, new))
+                stack.append((p, new, whole or id(p) in chosen))
     return title, _text(kept), best.sum
 
 
@@ -197,7 +227,10 @@ def _extract(pages: pa.Array) -> pa.Array:
 
 
 def extracted(pages: DataFrame, page: str = "html", out: str = "main") -> DataFrame:
-    """pages with the struct column `out`: title, text of the densest subtree, and its density sum.
+    """pages with the struct column `out`: title, text of the densest subtrees, and the density sum of the first among them.
+
+    The node with the greatest sum gives the threshold, the least density on its path to the body. From the body down, every node
+    that reaches it keeps its maximum-sum subtree; nodes below it are not entered, and text beside a kept subtree goes.
 
     Null and empty pages, and pages without text in their body, give empty texts and 0; a page without tags gives its text. Of
     nodes with equal sums the first in the document counts. Rows that repeat are extracted each, pages are parsed
