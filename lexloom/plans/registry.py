@@ -24,6 +24,12 @@ def docs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("body"))
 
 
+def lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the whole first line as title."""
+    d = _read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
+
+
 def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("body"))
 
@@ -288,6 +294,14 @@ def lexical_neighbours(spark, sf_dir):
     return semantic.directed(_rounded(semantic.lexical_pairs(semantic.tfidf(_title_texts(spark, sf_dir)))), 5)
 
 
+def text_neighbours(spark, sf_dir):
+    """The five documents nearest to each by TF-IDF over whole texts, without false friends by their first lines.
+
+    It has no SQL: the join of all words of all texts with each other is too large; tests compare with brute force.
+    """
+    return semantic.neighbours(lines_view(spark, sf_dir), representation="whole", only_mutual=False)
+
+
 _SEMANTIC_STOP = ", ".join(f"'{w}'" for w in semantic.STOP)
 _RANKED = "SELECT source, target, score, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS INTEGER) AS rank FROM (SELECT a AS source, b AS target, score FROM {pairs} UNION ALL SELECT b, a, score FROM {pairs})"
 SQL_lexical_neighbours = f"""
@@ -442,7 +456,7 @@ def ranked_search(spark, sf_dir):
 
 _ALL = (
     token_frequencies, version_forms, lemma_frequencies, repair_forms, phrase_frequencies, saturated_frequencies, last_versions, index_vocabulary, document_frequencies, search_bm25,
-    prefix_matches, typo_suggestions, title_lookups, mined_vocabulary, short_forms, acronym_surfaces, equivalence_candidates, clean_pages, lexical_neighbours, embedding_neighbours,
+    prefix_matches, typo_suggestions, title_lookups, mined_vocabulary, short_forms, acronym_surfaces, equivalence_candidates, clean_pages, lexical_neighbours, text_neighbours, embedding_neighbours,
     mutual_neighbours, adaptive_neighbours, fused_neighbours, merged_relationships, related_one_hop, ranking_metrics, latest_queries, latest_query_stats, inspection_changes, ranked_search,
 )
 

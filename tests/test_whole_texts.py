@@ -1,0 +1,62 @@
+"""Queries over whole documents against brute force."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from lexloom.operators import semantic
+from lexloom.plans import registry
+
+LINE = "A first line that every one of these documents has, in which nothing tells them apart at all"
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Documents that are alike and unlike only past their 80th character, and items of many words."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    texts = [f"{LINE} {r.choice(words)}\n" + " ".join(r.choice(words) for _ in range(r.randint(5, 60))) for _ in range(40)]
+    texts += [texts[3] + " more", "Another beginning, which is not like the others in any of its words or parts\n" + texts[7].split("\n")[1], "", None]
+    at = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{at}/documents.parquet")
+    items = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(6)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at, texts, items
+
+
+def cosine_graph(texts, k):
+    """{(source, target, rank): score} by all pairs."""
+    bags = {str(i): Counter(t for t in re.findall("[a-z0-9]+", (x or "").lower()) if t not in semantic.STOP and len(t) > 1) for i, x in enumerate(texts)}
+    df = Counter(t for b in bags.values() for t in b)
+    vectors = {}
+    for i, b in bags.items():
+        v = {t: n / sum(b.values()) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in b.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    out = {}
+    for a, v in vectors.items():
+        near = sorted((-round(s, 6), b) for b, w in vectors.items() if b != a and (s := sum(x * w.get(t, 0.0) for t, x in v.items())) > 0)
+        out |= {(a, b, rank): -s for rank, (s, b) in enumerate(near[:k], 1)}
+    return out
+
+
+def test_text_neighbours_are_those_of_whole_texts(spark, tables):
+    at, texts, _ = tables
+    got = {(r["source"], r["target"], r["rank"]): r["score"] for r in registry.queries()["text_neighbours"](spark, at).collect()}
+    want = cosine_graph(texts, 5)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+    assert ("3", "40", 1) in got and ("41", "7", 1) in got
+
+
+@pytest.mark.parametrize("block", [3, 16, 1024])
+def test_blocks_give_one_graph(spark, tables, block):
+    at, texts, _ = tables
+    docs = semantic.prepared(registry.lines_view(spark, at), "whole")
+    got = {(r["source"], r["target"], r["rank"]): r["score"] for r in semantic.lexical_graph(semantic.tfidf(docs), len(texts), 7, block=block).collect()}
+    want = cosine_graph(texts, 7)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
