@@ -34,9 +34,10 @@ def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("body"))
 
 
-def item_queries(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    b = _read(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("query_id"), F.slice(tokens(F.col("text")), 1, n).alias("words"))
+def item_queries(spark: SparkSession, sf_dir: str, n: int | None = 4) -> DataFrame:
+    """The first n words of each benchmark text, without n all of them."""
+    b, words = _read(spark, sf_dir, "benchmark"), tokens(F.col("text"))
+    return b.select(F.col("item_id").cast("string").alias("query_id"), (words if n is None else F.slice(words, 1, n)).alias("words"))
 
 
 def _toks(x: str) -> str:
@@ -44,6 +45,7 @@ def _toks(x: str) -> str:
 
 
 _DOCS = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, substr(split_part(text, chr(10), 1), 1, 80) AS title, text AS body FROM documents)"
+_LINES = "docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS title, text AS body FROM documents)"
 _PARTS = "docs AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand || ' ' || p_type AS body FROM part)"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TABLE = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in BUILT_IN.items()) + "}"
@@ -157,10 +159,10 @@ WITH {_DOCS}, toks AS (SELECT id, 'title' AS field, unnest({_toks('title')}) AS
 SELECT field, term, count(DISTINCT id) AS df, count(*) AS tf FROM toks GROUP BY field, term"""
 
 
-def search_bm25(spark, sf_dir, k: int = 5):
-    """The k best documents of every benchmark query by BM25 over titles and bodies."""
-    index = documents.analysed(docs_view(spark, sf_dir))
-    forms = item_queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct("words")).alias("form"), F.lit("token").alias("kind"))
+def search_bm25(spark, sf_dir, k: int = 5, n: int | None = 4, view=docs_view):
+    """The k best documents for the first n words of every benchmark text by BM25 over titles and bodies."""
+    index = documents.analysed(view(spark, sf_dir))
+    forms = item_queries(spark, sf_dir, n).select("query_id", F.explode(F.array_distinct("words")).alias("form"), F.lit("token").alias("kind"))
     posting = postings.postings(index).where(F.col("field").isin("title", "body"))
     scored = postings.bm25_scores(forms, posting, postings.corpus_stats(index), prefixes=False)
     return postings.top_k(scored.select("query_id", "id", F.round("score", 6).alias("score")), k)
@@ -178,6 +180,14 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, id, score, rn FROM r WHERE rn <= 5"""
 
 
+def search_bm25_whole(spark, sf_dir):
+    """The five best documents for all words of every benchmark text by BM25 over first lines and bodies."""
+    return search_bm25(spark, sf_dir, n=None, view=lines_view)
+
+
+SQL_search_bm25_whole = SQL_search_bm25.replace(_DOCS, _LINES).replace("unnest(w[1:4])", "unnest(w)")
+
+
 def _asked_words(spark, sf_dir) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("form")).distinct()
 
@@ -455,7 +465,7 @@ def ranked_search(spark, sf_dir):
 
 
 _ALL = (
-    token_frequencies, version_forms, lemma_frequencies, repair_forms, phrase_frequencies, saturated_frequencies, last_versions, index_vocabulary, document_frequencies, search_bm25,
+    token_frequencies, version_forms, lemma_frequencies, repair_forms, phrase_frequencies, saturated_frequencies, last_versions, index_vocabulary, document_frequencies, search_bm25, search_bm25_whole,
     prefix_matches, typo_suggestions, title_lookups, mined_vocabulary, short_forms, acronym_surfaces, equivalence_candidates, clean_pages, lexical_neighbours, text_neighbours, embedding_neighbours,
     mutual_neighbours, adaptive_neighbours, fused_neighbours, merged_relationships, related_one_hop, ranking_metrics, latest_queries, latest_query_stats, inspection_changes, ranked_search,
 )

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 
+from lexloom.functions.text import tokenize
 from lexloom.operators import semantic
 from lexloom.plans import registry
 
@@ -60,3 +61,22 @@ def test_blocks_give_one_graph(spark, tables, block):
     got = {(r["source"], r["target"], r["rank"]): r["score"] for r in semantic.lexical_graph(semantic.tfidf(docs), len(texts), 7, block=block).collect()}
     want = cosine_graph(texts, 7)
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
+def test_every_word_of_an_item_is_scored(spark, tables):
+    at, texts, items = tables
+    fields = [(4.0, [tokenize((x or "").split("\n")[0]) for x in texts]), (1.0, [tokenize(x or "") for x in texts])]
+    want = set()
+    for item, text in items:
+        total = Counter()
+        for weight, docs in fields:
+            mean = sum(map(len, docs)) / len(docs)
+            for t in set(tokenize(text)):
+                df = sum(t in d for d in docs)
+                for i, d in enumerate(docs):
+                    if tf := d.count(t):
+                        total[str(i)] += weight * math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        best = sorted((-round(s, 6), i) for i, s in total.items())[:5]
+        want |= {(str(item), i, round(-s, 4), rn) for rn, (s, i) in enumerate(best, 1)}
+    got = {(r["query_id"], r["id"], round(r["score"], 4), r["rn"]) for r in registry.queries()["search_bm25_whole"](spark, at).collect()}
+    assert got == want
