@@ -139,8 +139,8 @@ def last_versions(spark, sf_dir):
 SQL_last_versions = "SELECT CAST(user_id AS VARCHAR) AS id, max_by(event_id, event_id) AS seq, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id"
 
 
-def index_vocabulary(spark, sf_dir):
-    return documents.vocabulary(documents.analysed(docs_view(spark, sf_dir)))
+def index_vocabulary(spark, sf_dir, view=docs_view):
+    return documents.vocabulary(documents.analysed(view(spark, sf_dir)))
 
 
 SQL_index_vocabulary = f"""
@@ -149,8 +149,8 @@ rows AS (SELECT t AS term, f = 1 AS a, true AS b FROM lemmas UNION ALL SELECT le
 SELECT term, bool_or(a) AS in_title, bool_or(b) AS in_surface FROM rows GROUP BY term"""
 
 
-def document_frequencies(spark, sf_dir):
-    index = documents.analysed(docs_view(spark, sf_dir))
+def document_frequencies(spark, sf_dir, view=docs_view):
+    index = documents.analysed(view(spark, sf_dir))
     return postings.postings(index).where(F.col("field").isin("title", "body")).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -192,13 +192,13 @@ def _asked_words(spark, sf_dir) -> DataFrame:
     return _read(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("form")).distinct()
 
 
-def _title_words(spark, sf_dir) -> DataFrame:
-    return docs_view(spark, sf_dir).select(F.explode(tokens(F.col("title"))).alias("term")).distinct()
+def _title_words(spark, sf_dir, view=docs_view) -> DataFrame:
+    return view(spark, sf_dir).select(F.explode(tokens(F.col("title"))).alias("term")).distinct()
 
 
-def prefix_matches(spark, sf_dir):
+def prefix_matches(spark, sf_dir, view=docs_view):
     """Title words that a benchmark word begins, 64 of each in order."""
-    a, b = _asked_words(spark, sf_dir).where("length(form) >= 3"), _title_words(spark, sf_dir)
+    a, b = _asked_words(spark, sf_dir).where("length(form) >= 3"), _title_words(spark, sf_dir, view)
     pairs = a.withColumn("k", F.substring("form", 1, 3)).join(b.withColumn("k", F.substring("term", 1, 3)), "k").where((F.col("form") != F.col("term")) & allow_prefix(F.col("form"), F.col("term")))
     order = Window.partitionBy("form").orderBy("term")
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= postings.PREFIX_TERMS).select("form", "term", "rn")
@@ -210,9 +210,9 @@ m AS (SELECT form, term FROM a JOIN b ON starts_with(term, form) AND form <> ter
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY form ORDER BY term) AS INTEGER) AS rn FROM m) SELECT form, term, rn FROM r WHERE rn <= 64"""
 
 
-def typo_suggestions(spark, sf_dir):
+def typo_suggestions(spark, sf_dir, view=docs_view):
     """For benchmark words of five letters or more that no title has, the nearest title word within two edits."""
-    vocabulary = _title_words(spark, sf_dir)
+    vocabulary = _title_words(spark, sf_dir, view)
     unknown = _asked_words(spark, sf_dir).where("length(form) >= 5 and not form rlike '^[0-9]+$'").join(vocabulary, F.col("form") == F.col("term"), "left_anti")
     near = unknown.withColumn("n", F.explode(F.sequence(F.length("form") - 2, F.length("form") + 2))).join(vocabulary.withColumn("n", F.length("term")), "n")
     d = near.withColumn("distance", F.levenshtein("form", "term", 2)).where("distance between 1 and 2")
@@ -239,8 +239,8 @@ WITH {_PARTS}, d AS (SELECT id, array_to_string({_toks('title')}, ' ') AS t FROM
 SELECT query, count(*) FILTER (WHERE query = t) AS exact, count(*) AS begun, round(max(8 * length(query) / length(t)), 6) AS best FROM q JOIN d ON starts_with(t, query) GROUP BY query"""
 
 
-def mined_vocabulary(spark, sf_dir):
-    return corpus.mine_vocabulary(docs_view(spark, sf_dir))
+def mined_vocabulary(spark, sf_dir, view=docs_view):
+    return corpus.mine_vocabulary(view(spark, sf_dir))
 
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -261,8 +261,8 @@ vocabulary AS (SELECT term, tf, df, title_df, kind, spelling FROM k WHERE spelli
 SQL_mined_vocabulary = f"WITH {_VOCABULARY} SELECT * FROM vocabulary"
 
 
-def short_forms(spark, sf_dir):
-    return corpus.alias_pairs(corpus.mine_vocabulary(docs_view(spark, sf_dir)))
+def short_forms(spark, sf_dir, view=docs_view):
+    return corpus.alias_pairs(corpus.mine_vocabulary(view(spark, sf_dir)))
 
 
 def _stem_sql(x: str) -> str:
@@ -277,12 +277,12 @@ AND NOT regexp_matches(substr(b.term, length(a.term) + 1), '^(ing|ings|ed|er|ers
 AND {_stem_sql('a.term')} <> {_stem_sql('b.term')} AND substr(b.term, length(a.term) + 1) NOT IN ('s', 'es', 'ed', 'd', 'ing', 'er', 'ers', 'ly', 'ion', 'ions')"""
 
 
-def acronym_surfaces(spark, sf_dir):
-    return corpus.acronym_surfaces(docs_view(spark, sf_dir))
+def acronym_surfaces(spark, sf_dir, view=docs_view):
+    return corpus.acronym_surfaces(view(spark, sf_dir))
 
 
-def equivalence_candidates(spark, sf_dir):
-    return corpus.mine_equivalences(docs_view(spark, sf_dir))
+def equivalence_candidates(spark, sf_dir, view=docs_view):
+    return corpus.mine_equivalences(view(spark, sf_dir))
 
 
 def clean_pages(spark, sf_dir):
@@ -464,10 +464,28 @@ def ranked_search(spark, sf_dir):
     return engine.search_batch(queries).select("query_id", "channel", "rank", "id", "title", "score", "relevance", "direct_class")
 
 
+def _of_lines(query: Callable) -> Callable:
+    """The query with whole first lines as titles."""
+
+    def whole(spark, sf_dir):
+        return query(spark, sf_dir, view=lines_view)
+
+    whole.__name__ = f"{query.__name__}_of_lines"
+    whole.__doc__ = f"{query.__name__} with whole first lines as titles."
+    return whole
+
+
+_TITLED = (index_vocabulary, document_frequencies, prefix_matches, typo_suggestions, mined_vocabulary, short_forms, acronym_surfaces, equivalence_candidates)
+_OF_LINES = tuple(_of_lines(f) for f in _TITLED)
+for _f in _TITLED:
+    if f"SQL_{_f.__name__}" in globals():
+        globals()[f"SQL_{_f.__name__}_of_lines"] = globals()[f"SQL_{_f.__name__}"].replace(_DOCS, _LINES)
+
 _ALL = (
     token_frequencies, version_forms, lemma_frequencies, repair_forms, phrase_frequencies, saturated_frequencies, last_versions, index_vocabulary, document_frequencies, search_bm25, search_bm25_whole,
     prefix_matches, typo_suggestions, title_lookups, mined_vocabulary, short_forms, acronym_surfaces, equivalence_candidates, clean_pages, lexical_neighbours, text_neighbours, embedding_neighbours,
     mutual_neighbours, adaptive_neighbours, fused_neighbours, merged_relationships, related_one_hop, ranking_metrics, latest_queries, latest_query_stats, inspection_changes, ranked_search,
+    *_OF_LINES,
 )
 
 

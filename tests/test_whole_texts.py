@@ -80,3 +80,30 @@ def test_every_word_of_an_item_is_scored(spark, tables):
         want |= {(str(item), i, round(-s, 4), rn) for rn, (s, i) in enumerate(best, 1)}
     got = {(r["query_id"], r["id"], round(r["score"], 4), r["rn"]) for r in registry.queries()["search_bm25_whole"](spark, at).collect()}
     assert got == want
+
+
+def test_first_lines_are_titles_to_their_end(spark, tables):
+    at, texts, _ = tables
+    titles = {t for x in texts for t in tokenize((x or "").split("\n")[0])}
+    queries = registry.queries()
+    found = {r["term"]: r["in_title"] for r in queries["index_vocabulary_of_lines"](spark, at).collect()}
+    assert all(found[t] for t in titles) and found["apart"]
+    df = {r["term"] for r in queries["document_frequencies_of_lines"](spark, at).where("field = 'title'").collect()}
+    assert df == titles
+    mined = {r["term"] for r in queries["mined_vocabulary_of_lines"](spark, at).where("kind = 'title'").collect()}
+    assert texts[0].split("\n")[0].split()[-1] in mined
+
+
+@pytest.mark.parametrize("name", [f.__name__ for f in registry._OF_LINES])
+def test_queries_of_lines_give_rows_of_their_cut_query(spark, tables, name):
+    at = tables[0]
+    assert registry.queries()[name](spark, at).columns == registry.queries()[name.removesuffix("_of_lines")](spark, at).columns
+
+
+def test_words_past_the_cut_are_suggested_and_begun(spark, tmp_path):
+    line = "x" * 40 + " " + "y" * 30 + " completed words"
+    spark.createDataFrame([(1, line + "\nbody")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "wordz compl")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    q = registry.queries()
+    assert [(r["form"], r["suggestion"]) for r in q["typo_suggestions_of_lines"](spark, str(tmp_path)).where("form = 'wordz'").collect()] == [("wordz", "words")]
+    assert [(r["form"], r["term"]) for r in q["prefix_matches_of_lines"](spark, str(tmp_path)).collect()] == [("compl", "completed")]
