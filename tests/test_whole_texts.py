@@ -107,3 +107,11 @@ def test_words_past_the_cut_are_suggested_and_begun(spark, tmp_path):
     q = registry.queries()
     assert [(r["form"], r["suggestion"]) for r in q["typo_suggestions_of_lines"](spark, str(tmp_path)).where("form = 'wordz'").collect()] == [("wordz", "words")]
     assert [(r["form"], r["term"]) for r in q["prefix_matches_of_lines"](spark, str(tmp_path)).collect()] == [("compl", "completed")]
+
+
+def test_every_vector_of_a_label_is_followed(spark, tmp_path):
+    vectors = [[1.0, 0.1 * i, 0.01 * i * i] for i in range(9)]
+    spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    graph = {(r["source"], r["target"]) for r in registry.embedding_neighbours(spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["id"], r["sources"]) for r in registry.queries()["related_one_hop_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(label, t, len({s for s, x in graph if x == t and s % 2 == label})) for label in (0, 1) for _, t in graph if any(x == t and s % 2 == label for s, x in graph)}
