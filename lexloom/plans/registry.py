@@ -473,6 +473,14 @@ def ranked_search(spark, sf_dir):
     return engine.search_batch(queries).select("query_id", "channel", "rank", "id", "title", "score", "relevance", "direct_class")
 
 
+def ranked_documents(spark, sf_dir):
+    """Every whole benchmark text searched among all documents, whole first lines as titles, ranked by constraints."""
+    engine = SearchEngine(spark, morphology=English(), retriever="indexed")
+    engine.index(lines_view(spark, sf_dir))
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("raw"))
+    return engine.search_batch(queries).select("query_id", "channel", "rank", "id", "title", "score", "relevance", "direct_class")
+
+
 def _of_lines(query: Callable) -> Callable:
     """The query with whole first lines as titles."""
 
@@ -493,7 +501,7 @@ for _f in _TITLED:
 _ALL = (
     token_frequencies, version_forms, lemma_frequencies, repair_forms, phrase_frequencies, saturated_frequencies, last_versions, index_vocabulary, document_frequencies, search_bm25, search_bm25_whole,
     prefix_matches, typo_suggestions, title_lookups, mined_vocabulary, short_forms, acronym_surfaces, equivalence_candidates, clean_pages, lexical_neighbours, text_neighbours, embedding_neighbours,
-    mutual_neighbours, adaptive_neighbours, fused_neighbours, merged_relationships, related_one_hop, related_one_hop_whole, ranking_metrics, latest_queries, latest_query_stats, inspection_changes, ranked_search,
+    mutual_neighbours, adaptive_neighbours, fused_neighbours, merged_relationships, related_one_hop, related_one_hop_whole, ranking_metrics, latest_queries, latest_query_stats, inspection_changes, ranked_search, ranked_documents,
     *_OF_LINES,
 )
 

@@ -9,9 +9,11 @@ from collections import Counter
 
 import pytest
 
+from lexloom.functions.english import English
 from lexloom.functions.text import tokenize
 from lexloom.operators import semantic
 from lexloom.plans import registry
+from lexloom.plans.engine import SearchEngine
 
 LINE = "A first line that every one of these documents has, in which nothing tells them apart at all"
 
@@ -109,6 +111,17 @@ def test_words_past_the_cut_are_suggested_and_begun(spark, tmp_path):
     assert [(r["form"], r["term"]) for r in q["prefix_matches_of_lines"](spark, str(tmp_path)).collect()] == [("compl", "completed")]
 
 
+def test_ranked_documents_are_those_of_the_full_scan(spark, tables):
+    at, _, items = tables
+    engine = SearchEngine(spark, morphology=English())
+    engine.index(registry.lines_view(spark, at))
+    queries = spark.createDataFrame([(str(i), x) for i, x in items], "query_id string, raw string")
+    of = lambda rows: sorted((r["query_id"], r["channel"], r["rank"], r["id"], round(r["score"], 6)) for r in rows.collect())
+    want = of(engine.search_batch(queries))
+    got = of(registry.queries()["ranked_documents"](spark, at))
+    assert got == want and {x[0] for x in got} == {str(i) for i, _ in items}
+
+
 def test_every_vector_of_a_label_is_followed(spark, tmp_path):
     vectors = [[1.0, 0.1 * i, 0.01 * i * i] for i in range(9)]
     spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
