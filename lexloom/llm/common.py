@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """df with `out`, the sum of `value` over all rows before this one in `order`, which must tell rows apart.
+
+    Rows are range-partitioned once and kept in the shared folder; only one total of each partition is gathered.
+    """
+    part, total, before = fresh(df, "part", "total", "before_part")
+    parts = written(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn(part, F.spark_partition_id()), "ranges")
+    totals = parts.groupBy(part).agg(F.sum(value).alias(total))
+    sums = totals.select(part, F.coalesce(F.sum(total).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    own_rows = Window.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parts.withColumn(out, F.coalesce(F.sum(value).over(own_rows), F.lit(0)))
+    return inside.join(F.broadcast(sums), part).withColumn(out, F.col(out) + F.col(before)).drop(part, before)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of a row by its id and text; rows that repeat both count as one document."""
     return F.xxhash64(F.col(doc_id), F.col(text))

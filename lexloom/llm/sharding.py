@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import own, written
+from lexloom.llm.common import discard, fresh, running_sum
 
 DIMENSIONS = ("lang", "source", "n_chars")
 BITS = 4
@@ -55,19 +55,6 @@ def curve_table(dimensions: int, bits: int) -> list[int]:
     return [hilbert_index([code >> bits * (dimensions - 1 - d) & (side - 1) for d in range(dimensions)], bits) for code in range(side**dimensions)]
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """df with `out`, the sum of `value` over all rows before this one in `order`, which must tell rows apart.
-
-    Rows are range-partitioned once and kept in the shared folder; only one total of each partition is gathered.
-    """
-    parts = written(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = parts.groupBy("_part").agg(F.sum(value).alias("_total"))
-    before = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own_rows = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    inside = parts.withColumn(out, F.coalesce(F.sum(value).over(own_rows), F.lit(0)))
-    return inside.join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
-
-
 def quantile_cuts(docs: DataFrame, dimensions: Sequence[str], bits: int) -> list[list]:
     """For each dimension the values at which its bucket grows, from exact counts over all rows.
 
