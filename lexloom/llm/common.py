@@ -93,11 +93,6 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def own(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns; null is put for those that df lacks, so a table without them is still read."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column without copying; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

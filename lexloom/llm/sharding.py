@@ -6,16 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import discard, fresh, running_sum
+from lexloom.llm.common import fresh, running_sum
 
 DIMENSIONS = ("lang", "source", "n_chars")
 BITS = 4
 SHARD_BYTES = 8 << 20
 #: Shard starts that are sent to every worker at most; beyond it documents are joined with their shard numbers.
-MOST_STARTS = 1 << 22
+MOST_STARTS = 1 << 16
+#: Partitions that the result has at most, beyond those that the session sets for shuffles: one for so many bytes of text.
+PARTITION_BYTES = 1 << 28
 
 
 def hilbert_index(coordinates: Sequence[int], bits: int) -> int:
@@ -96,26 +98,41 @@ def curve_column(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits:
     return F.get(table, code).cast("bigint")
 
 
-def hilbert_shards(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS, shard_bytes: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def starts_at(shard: np.ndarray, curve: np.ndarray, first: np.ndarray, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The shard of each (c, i): the last that begins, at (curve, first), no later."""
+    low, high = np.zeros(len(c), np.int64), np.full(len(c), len(shard), np.int64)
+    while (low < high).any():
+        middle = np.minimum((low + high) // 2, len(shard) - 1)
+        before = (curve[middle] < c) | ((curve[middle] == c) & (first[middle] <= i))
+        open_ = low < high
+        low, high = np.where(open_ & before, middle + 1, low), np.where(open_ & ~before, middle, high)
+    return shard[np.maximum(low - 1, 0)]
+
+
+def hilbert_shards(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS, shard_bytes: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text", most_starts: int = MOST_STARTS) -> DataFrame:
     """docs with curve (the Hilbert index of the quantised dimensions) and shard, rows of a shard together and in order.
 
     Rows are ordered by curve and id (nulls first); a shard is a run of that order, and a row belongs to shard
     floor(bytes of text before its id on the curve / shard_bytes), so a shard exceeds shard_bytes by less than one id's rows.
-    Rows that repeat share a shard. A null text has no bytes; a null in a dimension counts as its smallest value; a
-    dimension that docs lacks counts as null. Columns named curve or shard are replaced. An empty table stays empty.
+    Each partition, and so each file, holds a run of neighbouring shards, so that the files' least and greatest values of
+    each dimension leave most of them out of a read. Rows that repeat share a shard. A null text has no bytes; a null in a
+    dimension counts as its smallest value; a dimension that docs lacks is an error. Columns named curve or shard are
+    replaced, others stay, whatever their names. An empty table stays empty.
     """
     base = docs.drop("curve", "shard")
     for name in dimensions:
         if name not in base.columns:
             raise ValueError(f"no column {name}")
-    narrow = own(base, list(dict.fromkeys([doc_id, *dimensions])))
+    (size,) = fresh(base, "size")
+    narrow = base.select(*dict.fromkeys([doc_id, *dimensions]), F.coalesce(F.octet_length(text), F.lit(0)).alias(size))
     curve = curve_column(narrow, dimensions, bits)
+    sizes = narrow.withColumn("curve", curve).groupBy("curve", F.col(doc_id).alias("id")).agg(F.sum(size).cast("bigint").alias("n"))
+    shards = running_sum(sizes, ["curve", "id"], "n", "before").withColumn("shard", F.floor(F.col("before") / shard_bytes).cast("bigint"))
+    end = shards.agg(F.max("shard").alias("m"), F.sum("n").alias("bytes")).first()
+    most, total = end["m"] or 0, end["bytes"] or 0
     placed = base.withColumn("curve", curve)
-    sizes = placed.groupBy("curve", doc_id).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).cast("bigint").alias("n"))
-    shards = running_sum(sizes, ["curve", doc_id], "n", "before").withColumn("shard", F.floor(F.col("before") / shard_bytes).cast("bigint")).drop("n", "before")
-    starts = shards.groupBy("shard").agg(F.min(F.struct(F.col("curve"), F.col(doc_id).isNotNull().alias("given"), F.col(doc_id).alias("id"))).alias("start"))
-    most = shards.agg(F.max("shard").alias("m")).first()["m"] or 0
-    if most <= MOST_STARTS and dict(docs.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint"):
+    if most < most_starts and dict(docs.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint"):
+        starts = shards.groupBy("shard").agg(F.min(F.struct(F.col("curve"), F.col("id").isNotNull().alias("given"), F.col("id"))).alias("start"))
         rows = sorted(starts.collect(), key=lambda r: r["shard"])
         low = np.iinfo(np.int64).min
         sent = docs.sparkSession.sparkContext.broadcast((
@@ -123,16 +140,14 @@ def hilbert_shards(docs: DataFrame, dimensions: Sequence[str] = DIMENSIONS, bits
         ))
 
         def find(curve: pa.Array, ids: pa.Array) -> pa.Array:
-            shard, at, first = sent.value
             c, i = curve.to_numpy(zero_copy_only=False).astype(np.int64), ids.cast(pa.int64()).fill_null(low).to_numpy(zero_copy_only=False)
-            lo, hi = np.searchsorted(at, c, "left"), np.searchsorted(at, c, "right")
-            out = np.empty(len(c), np.int64)
-            for k in range(len(c)):
-                out[k] = max(lo[k] + np.searchsorted(first[lo[k] : hi[k]], i[k], "right") - 1, 0)
-            return pa.array(shard[out] if len(shard) else out)
+            return pa.array(starts_at(*sent.value, c, i) if len(sent.value[0]) else np.zeros(len(c), np.int64))
 
         placed = placed.withColumn("shard", F.arrow_udf(find, "bigint")(F.col("curve"), F.col(doc_id)))
     else:
-        n = shards.withColumnsRenamed({"curve": "_curve", doc_id: "_id", "shard": "_shard"})
-        placed = placed.join(n, placed["curve"].eqNullSafe(n["_curve"]) & placed[doc_id].eqNullSafe(n["_id"])).withColumn("shard", F.col("_shard")).drop("_curve", "_id", "_shard")
-    return placed.repartition("shard").sortWithinPartitions("shard", "curve", F.col(doc_id).asc_nulls_first())
+        other, same, number = fresh(placed, "other_curve", "other_id", "other_shard")
+        n = shards.select(F.col("curve").alias(other), F.col("id").alias(same), F.col("shard").alias(number))
+        placed = placed.join(n, placed["curve"].eqNullSafe(n[other]) & placed[doc_id].eqNullSafe(n[same])).withColumn("shard", F.col(number)).drop(other, same, number)
+    parts = min(most + 1, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES)))
+    run = F.floor(F.col("shard") * F.lit(parts) / F.lit(most + 1)).cast("int")
+    return placed.repartitionById(parts, run).sortWithinPartitions("shard", "curve", F.col(doc_id).asc_nulls_first())
