@@ -48,7 +48,8 @@ def op8_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(read(spark, sf_dir, "documents"))
+    """One row for each document that is similar to another: its class, its copies and its links to different texts."""
+    return ngram_join.near_copies(read(spark, sf_dir, "documents"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

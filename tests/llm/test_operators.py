@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ ALL = {
     "paragraphs": lambda d: paragraph_dedup.repeated_paragraphs(d),
     "mixing": lambda d: mixing.mixture(d),
     "decontamination": lambda d: decontamination.decontaminate(d, d.sparkSession.createDataFrame([(1, "nothing of the kind"), (2, None), (3, "")], "item_id bigint, text string")),
-    "pairs": lambda d: ngram_join.jaccard_pairs(d),
+    "pairs": lambda d: ngram_join.near_copies(d),
     "near": lambda d: ngram_join.drop_near_copies(d),
     "html": lambda d: html_text.extracted(d, page="text"),
 }
@@ -223,13 +224,51 @@ def near_copies():
     return out
 
 
-def test_pairs_against_brute_force(spark, near_copies):
-    want = {(b, a) for a in range(len(near_copies)) for b in range(a) if jaccard(near_copies[a], near_copies[b]) >= ngram_join.THRESHOLD}
-    for small in (ngram_join.SMALL, 2):
-        rows = ngram_join.jaccard_pairs(table(spark, near_copies), small=small).collect()
-        got = {(x["doc_a"], x["doc_b"]) for x in rows}
-        assert got <= want and len(got) >= 0.95 * len(want)
-        assert all(abs(x["jaccard"] - jaccard(near_copies[x["doc_a"]], near_copies[x["doc_b"]])) < 1e-5 for x in rows)
+def classes_by_hand(texts, threshold=ngram_join.THRESHOLD):
+    """doc: (class, copies, links) of the texts, numbered from 0, by comparing all pairs."""
+    grams = [frozenset(tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))) for ws in (t.lower().split() for t in texts)]
+    root, links = list(range(len(texts))), defaultdict(set)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= threshold:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+                if grams[a] != grams[b]:
+                    links[a].add(grams[b]), links[b].add(grams[a])
+    same = Counter(grams)
+    return {i: (find(i), same[grams[i]] - 1, len(links[i])) for i in range(len(texts)) if same[grams[i]] > 1 or links[i]}
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 2}, {"small": 2, "depth": 1, "block": 4}, {"block": 3}])
+def test_classes_and_links_against_brute_force(spark, near_copies, options):
+    want = classes_by_hand(near_copies)
+    got = {x["doc_id"]: (x["class_id"], x["copies"], x["links"]) for x in ngram_join.near_copies(table(spark, near_copies, extra="root"), **options).collect()}
+    assert got.keys() <= want.keys() and len(got) >= 0.97 * len(want)
+    assert all(got[i][1] == want[i][1] and got[i][2] <= want[i][2] for i in got)
+    assert sum(x[2] for x in got.values()) >= 0.95 * sum(x[2] for x in want.values())
+    assert sum(got[i][0] == want[i][0] for i in got) >= 0.95 * len(got)
+
+
+def test_a_large_group_of_near_copies_keeps_all_links(spark):
+    r = random.Random(21)
+    base = prose(r, 80).split()
+    docs = [" ".join([*base[:k % 80], "new" + str(k), *base[k % 80 + 1 :]]) for k in range(150)] + [" ".join(base)] * 3
+    rows = ngram_join.near_copies(table(spark, docs), small=8, block=40).collect()
+    assert len(rows) == 153 and {x["class_id"] for x in rows} == {0}
+    assert all(x["links"] == 150 for x in rows)
+
+
+def test_the_sketch_filter_is_within_the_recall():
+    for c in (16, 32, 64, 128):
+        k = ngram_join.least_equal(0.5, c, 3e-4)
+        draws = np.random.default_rng(c).binomial(c, 0.5, 400_000)
+        assert (draws < k).mean() < 4.5e-4 and k >= 1
 
 
 def test_one_of_each_group_stays(spark, near_copies):

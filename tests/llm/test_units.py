@@ -179,16 +179,20 @@ def test_minwise_rows_equal_minwise():
 def test_similar_within_equals_brute_force():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 60, size=r.integers(5, 40))).astype(np.uint32) for _ in range(40)]
-    keys = np.arange(40) * 7
-    a, b, s = ngram_join.similar_within(keys, sets, 0.3)
-    got = {(x, y): z for x, y, z in zip(a.tolist(), b.tolist(), s.tolist())}
-    want = {}
-    for i in range(40):
-        for j in range(i):
-            v = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
-            if v >= 0.3:
-                want[(j * 7, i * 7)] = round(v, 6)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    got = ngram_join.similar_within(sets, 0.3)
+    assert all(got[i, j] == (len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.3) for i in range(40) for j in range(40))
+
+
+def test_components_within():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        ok = r.random((30, 30)) < 0.03
+        ok |= ok.T
+        root = list(range(30))
+        for _ in range(30):
+            for i, j in zip(*np.nonzero(ok)):
+                root[i] = root[j] = min(root[i], root[j])
+        assert ngram_join.components_within(ok).tolist() == root
 
 
 def test_zstandard_is_deterministic():
