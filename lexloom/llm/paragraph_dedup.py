@@ -1,4 +1,9 @@
-"""Substring dedup by paragraphs: MinHash bands bring paragraphs together, exact Jaccard verifies, components cluster."""
+"""Substring dedup by paragraphs: MinHash bands bring paragraphs together, exact Jaccard verifies, components cluster.
+
+A paragraph is a line of enough words. As passages are also pasted into the middle of lines, or run over several,
+stretches of SPAN words are paragraphs too, begun where the text itself says: at the least gram of every REACH grams.
+So a passage of REACH + SPAN words that two documents share has a stretch that both cut alike, wherever it stands.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import LOWER, buffers, distinct, hash_grams, hash_words, mix, row_key, words, written
+from lexloom.llm.common import LOWER, buffers, discard, distinct, hash_grams, hash_words, mix, row_key, words, written
 from lexloom.llm.ngram_join import SEEDS, components
+from lexloom.llm.suffix_dedup import sliding_min
 
 LEAST_WORDS = 20
 GRAM = 3
 THRESHOLD = 0.7
-#: 14 bands of 4: a pair at the threshold collides with a chance of 0.98.
+#: 14 bands of 4: a pair of lines at the threshold collides with a chance of 0.98.
 BANDS = 14
 ROWS = 4
-_PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, n_words int, key bigint, bands array<bigint>"
+#: Words of a stretch, and grams of which the least begins one: every passage of SPAN + REACH words or more has one whole.
+SPAN = 20
+REACH = 30
+#: Bands of a stretch: equal ones always collide, those at the threshold with a chance of 0.67; a passage has several.
+SPAN_BANDS = 4
+#: Bytes of text whose words are hashed at once.
+CHUNK = 1 << 18
+_PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, start_word int, n_words int, key bigint, bands array<bigint>"
 
 
 def minwise_rows(h: np.ndarray, edges: np.ndarray, gram: int, n: int) -> np.ndarray:
@@ -38,28 +51,48 @@ def minwise_rows(h: np.ndarray, edges: np.ndarray, gram: int, n: int) -> np.ndar
     return (out.T >> np.uint64(32)).astype(np.uint32)
 
 
-def edges_of(text: np.ndarray, start: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the lines that have enough words, and where their words begin and end."""
-    cut = np.concatenate(([0], np.searchsorted(start, np.flatnonzero(text == 10)), [len(start)]))
-    k = np.flatnonzero(np.diff(cut) >= least_words)
-    return k, np.column_stack((cut[k], cut[k + 1])).ravel()
-
-
-def paragraphs(text: np.ndarray, least_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(number, word hashes in lower case) of the lines of a text that have enough words."""
-    start, end = words(text)
-    if len(start) < least_words:
-        return
-    h = hash_words(text, start, end, LOWER)
-    edges = np.concatenate(([0], np.searchsorted(start, np.flatnonzero(text == 10)), [len(start)]))
-    for k in np.flatnonzero(np.diff(edges) >= least_words):
-        yield int(k), h[edges[k] : edges[k + 1]]
-
-
 def grams_of(h: np.ndarray, gram: int) -> np.ndarray:
     return distinct((hash_grams(h, min(gram, len(h))) >> np.uint64(32)).astype(np.uint32))
 
 
+def anchors(h: np.ndarray, owner: np.ndarray, gram: int, reach: int, span: int) -> np.ndarray:
+    """Where stretches of span words begin: the first least gram of every `reach` grams of one text (owner tells texts apart)."""
+    grams = hash_grams(h, gram)
+    if len(grams) < reach:
+        return np.zeros(0, np.int64)
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = sliding_min((mix(grams) >> np.uint64(32) << np.uint64(32)) | place, reach)
+    inside = owner[: len(least)] == owner[reach + gram - 2 :][: len(least)]
+    at = np.unique((least[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    at = at[at + span <= len(h)]
+    return at[owner[at] == owner[at + span - 1]]
+
+
+def cut(texts: list[bytes], least_words: int, gram: int, span: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Word hashes in lower case of some texts, and (text, line, first word in all and in its text, words) of each paragraph,
+    first lines, then stretches; the number of lines among them comes last."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    start, end = words(data)
+    h = hash_words(data, start, end, LOWER)
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    breaks = np.flatnonzero(data == 10)
+    first_word, first_line = np.searchsorted(start, begin), np.searchsorted(breaks, begin)
+    edge = np.concatenate(([0], np.searchsorted(start, breaks), [len(start)]))
+    line = np.flatnonzero(np.diff(edge) >= least_words)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first_word, len(start))))
+    at = anchors(h, owner, gram, reach, span) if span else np.zeros(0, np.int64)
+    # In a run of equal words every stretch is the same: one of those that overlap is enough.
+    if len(at) > 1:
+        key = run_keys(h, np.column_stack((at, at + span)).ravel())
+        at = at[np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] - at[:-1] >= span)))]
+    lines = len(line)
+    place = np.concatenate((edge[line], at)).astype(np.int64)
+    size = np.concatenate((edge[line + 1] - edge[line], np.full(len(at), span))).astype(np.int64)
+    text = owner[place] if len(place) else np.zeros(0, np.int64)
+    number = np.searchsorted(breaks, start[place]) - first_line[text] if len(place) else place
+    return h, text, number, place, place - first_word[text], size, lines
+
+
 def run_keys(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the words of each run."""
     begin, end = edges[::2], edges[1::2]
@@ -81,41 +114,61 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _places(least_words: int, gram: int, bands: int, rows: int):
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Rows of a batch with their texts, some at a time; a long text alone."""
+    offsets, data = buffers(batch.column("text"))
+    rows, texts, held = [], [], 0
+    for i in range(len(batch)):
+        if offsets[i] == offsets[i + 1]:
+            continue
+        rows.append(i), texts.append(data[offsets[i] : offsets[i + 1]].tobytes())
+        held += len(texts[-1])
+        if held >= CHUNK:
+            yield rows, texts
+            rows, texts, held = [], [], 0
+    if rows:
+        yield rows, texts
+
+
+def _places(least_words: int, gram: int, bands: int, rows: int, span: int, reach: int, span_bands: int):
+    """The paragraphs of each text; of those equal in a batch only one has bands."""
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = buffers(batch.column("text"))
-            row, number, size, keys, all_bands = [], [], [], [], []
-            for i in range(len(batch)):
-                text = data[offsets[i] : offsets[i + 1]]
-                start, end = words(text)
-                if len(start) < least_words:
-                    continue
-                k, edges = edges_of(text, start, least_words)
-                if not len(k):
+            seen = np.zeros(0, np.int64)
+            for own, texts in _chunks(batch):
+                h, text, number, place, start, size, lines = cut(texts, least_words, gram, span, reach)
+                if not len(place):
                     continue
-                h = hash_words(text, start, end, LOWER)
-                row.append(np.full(len(k), i)), number.append(k), size.append(edges[1::2] - edges[::2])
-                keys.append(run_keys(h, edges)), all_bands.append(band_keys(minwise_rows(h, edges, min(gram, least_words), bands * rows), bands, rows).ravel())
-            if row:
-                row, number, size, keys = map(np.concatenate, (row, number, size, keys))
-                r = pa.array(row, pa.int64())
-                nested = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * bands, bands, dtype=np.int32)), pa.array(np.concatenate(all_bands)))
-                yield pa.RecordBatch.from_arrays([batch.column("rk").take(r), batch.column("doc_id").cast(pa.int64()).take(r), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.int64()), nested], schema=_PLACE)
+                edges = np.column_stack((place, place + size)).ravel()
+                keys = run_keys(h, edges)
+                _, first = np.unique(keys, return_index=True)
+                new = np.zeros(len(keys), bool)
+                new[first] = True
+                new &= ~np.isin(keys, seen)
+                seen = np.union1d(seen, keys)
+                values, counts = [], np.zeros(len(keys), np.int64)
+                for some, n in ((np.flatnonzero(new[:lines]), bands), (np.flatnonzero(new[lines:]) + lines, span_bands)):
+                    if len(some):
+                        values.append(band_keys(minwise_rows(h, np.column_stack((place[some], place[some] + size[some])).ravel(), min(gram, least_words), n * rows), n, rows).ravel())
+                        counts[some] = n
+                nested = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+                r = pa.array(np.array(own, np.int64)[text])
+                yield pa.RecordBatch.from_arrays([batch.column("rk").take(r), batch.column("doc_id").cast(pa.int64()).take(r), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.int64()), nested], schema=_PLACE)
 
     return places
 
 
-def _grams(least_words: int, gram: int):
+def _grams(gram: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
             keys, sets = [], []
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                own = {w["paragraph"]: w["key"] for w in wanted}
-                for k, h in paragraphs(data[offsets[i] : offsets[i + 1]], least_words):
-                    if k in own:
-                        keys.append(own[k]), sets.append(grams_of(h, gram).view(np.int32))
+                text = data[offsets[i] : offsets[i + 1]]
+                h = hash_words(text, *words(text), LOWER)
+                for w in wanted:
+                    keys.append(w["key"]), sets.append(grams_of(h[w["start_word"] : w["start_word"] + w["n_words"]], gram).view(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["key", "grams"])
 
     return grams
@@ -128,32 +181,44 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("jaccard", common / (F.size("ga") + F.size("gb") - common)).drop("ga", "gb")
 
 
-def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, paragraph, n_words, cluster, first_doc_id, remove): the paragraphs of at least least_words words that have a like
-    in another document. Paragraphs are lines, numbered from 0; two are alike if the Jaccard similarity of their word n-grams
-    is the threshold or more; clusters are the components; all but the first of a cluster (least id, then paragraph) are to be removed.
+def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, span: int = SPAN, reach: int = REACH, span_bands: int = SPAN_BANDS) -> DataFrame:
+    """(doc_id, paragraph, start_word, n_words, cluster, first_doc_id, remove): the paragraphs that have a like in another document.
+
+    Paragraphs are the lines of least_words words or more, and stretches of span words (none if span is 0), which begin where
+    the text says and may lie within a line or run over several; so a passage of span + reach words or more that two
+    documents share is found wherever it stands. `paragraph` is the line, from 0, that it begins in, start_word its first word
+    in the text. Two are alike if the Jaccard similarity of their word n-grams is the threshold or more; clusters are the
+    components; all but the first of a cluster (least id, then place) are to be removed. Shorter lines are no paragraphs
+    of their own: they are covered by the stretches that run over them.
 
     In a band's bucket each paragraph is compared with the least one; those unlike it are compared with all others of the
     bucket, so clusters are as if all had been. Equal paragraphs count once there. Texts that are null or empty have no
-    paragraphs; rows that repeat id and text are one document, reported once; a null id sorts last.
+    paragraphs; rows that repeat id and text are one document, reported once; a null id sorts last; texts are read whole;
+    an empty table gives an empty one.
     """
     keyed = docs.select(row_key().alias("rk"), "doc_id", "text")
-    places = written(keyed.mapInArrow(_places(least_words, gram, bands, rows), _PLACE_KIND), "paragraphs")
-    distinct_ones = places.groupBy("key").agg(F.first("bands").alias("bands"))
-    in_bands = distinct_ones.select("key", F.explode("bands").alias("band")).withColumn("hub", F.min("key").over(Window.partitionBy("band"))).withColumn("last", F.max("key").over(Window.partitionBy("band")))
-    colliding = written(in_bands.where("hub != last").select("band", "hub", "key"), "collisions")
-    firsts = places.join(colliding.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("rk", "paragraph")).alias("p"))
-    wanted = firsts.groupBy(F.col("p.rk").alias("rk")).agg(F.collect_list(F.struct("p.paragraph", "key")).alias("wanted"))
-    sets = written(keyed.join(wanted, "rk").select("text", "wanted").mapInArrow(_grams(least_words, gram), "key bigint, grams array<int>").dropDuplicates(["key"]), "grams")
+    places = written(keyed.mapInArrow(_places(least_words, gram, bands, rows, span, reach, span_bands), _PLACE_KIND), "paragraphs")
+    by_band = Window.partitionBy("band")
+    in_bands = places.select("key", F.explode("bands").alias("band")).withColumn("hub", F.min("key").over(by_band)).withColumn("last", F.max("key").over(by_band))
+    colliding = written(in_bands.where("hub != last").select("band", "hub", "key").distinct(), "collisions")
+    firsts = places.select("rk", "start_word", "n_words", "key").join(colliding.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("rk", "start_word", "n_words")).alias("p"))
+    wanted = firsts.groupBy(F.col("p.rk").alias("rk")).agg(F.collect_list(F.struct("p.start_word", "p.n_words", "key")).alias("wanted"))
+    sets = written(keyed.join(wanted, "rk").select("text", "wanted").mapInArrow(_grams(gram), "key bigint, grams array<int>").dropDuplicates(["key"]), "grams")
     to_hub = written(_verified(colliding.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), sets), "to-hub")
     unlike = to_hub.where(F.col("jaccard") < threshold).select(F.col("a").alias("hub"), F.col("b").alias("key"))
     open_rows = colliding.join(unlike, ["hub", "key"]).select("band", F.col("key").alias("x"))
     others = open_rows.join(colliding.where("key != hub").select("band", "key"), "band").where("x != key").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
     edges = to_hub.where(F.col("jaccard") >= threshold).unionByName(_verified(others, sets).where(F.col("jaccard") >= threshold)).select("a", "b")
-    roots = components(edges)
-    rooted = places.select("rk", "doc_id", "paragraph", "n_words", "key").distinct().join(roots, places["key"] == roots["node"], "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "node", "key")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "rk")
-    clusters = rooted.groupBy("cluster").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min(place).alias("first")).where("lo != hi").drop("lo", "hi")
-    out = rooted.join(clusters, "cluster")
-    keeps = (F.col("rk") == F.col("first.rk")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return out.select("doc_id", "paragraph", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), (~keeps).alias("remove"))
+    found = components(edges)
+    roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    discard(colliding, sets, to_hub)
+    # Whether a paragraph's key is in one document only, and alone in its cluster, is known before rows are joined.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start_word", "n_words", "rk")
+    each = places.groupBy("key").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min(place).alias("first"))
+    rooted = each.join(roots, each["key"] == roots["node"], "left").where("node is not null or lo != hi").select("key", "lo", "hi", "first", F.coalesce("root", "key").alias("cluster"))
+    rooted = written(rooted, "rooted")
+    clusters = rooted.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first")).where("lo != hi").select("cluster", "first")
+    kept = rooted.select("key", "cluster").join(clusters, "cluster")
+    out = places.select("rk", "doc_id", "paragraph", "start_word", "n_words", "key").join(kept, "key").dropDuplicates(["rk", "doc_id", "start_word", "n_words"])
+    keeps = (F.col("rk") == F.col("first.rk")) & (F.col("start_word") == F.col("first.start_word")) & (F.col("n_words") == F.col("first.n_words"))
+    return out.select("doc_id", "paragraph", "start_word", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), (~keeps).alias("remove"))

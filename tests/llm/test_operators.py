@@ -144,7 +144,7 @@ def test_paragraph_clusters_equal_brute_force(spark):
         return " ".join(ws)
 
     docs = ["\n".join(near(t, r.choice((0, 0, 1, 2))) for t in r.sample(base, 4)) for _ in range(30)] + [base[0], base[0]]
-    rows = paragraph_dedup.repeated_paragraphs(table(spark, docs)).collect()
+    rows = paragraph_dedup.repeated_paragraphs(table(spark, docs), span=0).collect()
     parts = [(i, k, p) for i, t in enumerate(docs) for k, p in enumerate(t.split("\n"))]
     grams = [{tuple(p.split()[j : j + 3]) for j in range(len(p.split()) - 2)} for _, _, p in parts]
     root = list(range(len(parts)))

@@ -162,18 +162,30 @@ def test_html_extraction():
 
 def test_minwise_rows_equal_minwise():
     r = random.Random(3)
-    text = "\n".join(" ".join(r.choice("abcdefg") * 2 for _ in range(r.randint(1, 40))) for _ in range(30)).encode()
-    data = np.frombuffer(text, np.uint8)
-    start, end = words(data)
-    k, edges = paragraph_dedup.edges_of(data, start, 5)
-    h = hash_words(data, start, end)
-    rows = paragraph_dedup.minwise_rows(h, edges, 3, 20)
-    lines = text.split(b"\n")
-    assert [len(lines[i].split()) for i in k] == (edges[1::2] - edges[::2]).tolist()
-    keys = paragraph_dedup.run_keys(h, edges)
-    for i, (a, b) in enumerate(zip(edges[::2], edges[1::2])):
-        assert (rows[i] == ngram_join.minwise(paragraph_dedup.grams_of(h[a:b], 3), 20)).all()
-        assert keys[i] == paragraph_dedup.run_keys(h[a:b], np.array([0, b - a]))[0]
+    texts = ["\n".join(" ".join(r.choice("abcdefg") * 2 for _ in range(r.randint(1, 40))) for _ in range(6)).encode() for _ in range(5)]
+    h, text, number, place, start, size, lines = paragraph_dedup.cut(texts, 5, 3, 0, 0)
+    want = [(i, k, len(x.split())) for i, t in enumerate(texts) for k, x in enumerate(t.split(b"\n")) if len(x.split()) >= 5]
+    assert list(zip(text.tolist(), number.tolist(), size.tolist())) == want and lines == len(want)
+    edges = np.column_stack((place, place + size)).ravel()
+    rows, keys = paragraph_dedup.minwise_rows(h, edges, 3, 20), paragraph_dedup.run_keys(h, edges)
+    for i, (a, n) in enumerate(zip(place, size)):
+        assert (rows[i] == ngram_join.minwise(paragraph_dedup.grams_of(h[a : a + n], 3), 20)).all()
+        assert keys[i] == paragraph_dedup.run_keys(h[a : a + n], np.array([0, n]))[0]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_pasted_passage_has_a_stretch_cut_alike(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(paragraph_dedup.SPAN + paragraph_dedup.REACH)]
+    if seed == 7:
+        passage = ["same"] * len(passage)
+    texts = [" ".join([word() for _ in range(r.randint(0, 90))] + passage + [word() for _ in range(r.randint(0, 90))]).encode() for _ in range(6)]
+    alone = [paragraph_dedup.cut([t], 999, 3, 20, 30) for t in texts]
+    keys = [set(paragraph_dedup.run_keys(x[0], np.column_stack((x[3], x[3] + x[5])).ravel()).tolist()) for x in alone]
+    assert set.intersection(*keys)
+    whole = paragraph_dedup.cut(texts, 999, 3, 20, 30)
+    assert sorted(zip(whole[1].tolist(), whole[4].tolist())) == [(i, s) for i, x in enumerate(alone) for s in x[4].tolist()]
 
 
 def test_similar_within_equals_brute_force():
