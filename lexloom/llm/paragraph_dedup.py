@@ -31,6 +31,8 @@ REACH = 30
 SPAN_BANDS = 4
 #: Bytes of text whose words are hashed at once.
 CHUNK = 1 << 18
+#: Keys that a task keeps, so as not to send the bands of one paragraph again and again.
+SEEN = 1 << 20
 _PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, start_word int, n_words int, key bigint, bands array<bigint>"
 
@@ -131,22 +133,24 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
 
 
 def _places(least_words: int, gram: int, bands: int, rows: int, span: int, reach: int, span_bands: int):
-    """The paragraphs of each text; of those equal in a batch only one has bands."""
+    """The paragraphs of each text; of those equal in a task only the first has bands, or some where there are very many."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            seen = np.zeros(0, np.int64)
             for own, texts in _chunks(batch):
                 h, text, number, place, start, size, lines = cut(texts, least_words, gram, span, reach)
                 if not len(place):
                     continue
                 edges = np.column_stack((place, place + size)).ravel()
                 keys = run_keys(h, edges)
-                _, first = np.unique(keys, return_index=True)
+                if len(seen) > SEEN:
+                    seen.clear()
                 new = np.zeros(len(keys), bool)
-                new[first] = True
-                new &= ~np.isin(keys, seen)
-                seen = np.union1d(seen, keys)
+                for i, k in enumerate(keys.tolist()):
+                    if k not in seen:
+                        seen.add(k)
+                        new[i] = True
                 values, counts = [], np.zeros(len(keys), np.int64)
                 for some, n in ((np.flatnonzero(new[:lines]), bands), (np.flatnonzero(new[lines:]) + lines, span_bands)):
                     if len(some):
@@ -163,13 +167,22 @@ def _grams(gram: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
-            keys, sets = [], []
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+            wanted = batch.column("wanted")
+            edge, own = wanted.offsets.to_numpy(), wanted.values
+            place, size, key = (own.field(c).to_numpy(zero_copy_only=False) for c in ("start_word", "n_words", "key"))
+            parts, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+            for i in range(len(batch)):
                 text = data[offsets[i] : offsets[i + 1]]
                 h = hash_words(text, *words(text), LOWER)
-                for w in wanted:
-                    keys.append(w["key"]), sets.append(grams_of(h[w["start_word"] : w["start_word"] + w["n_words"]], gram).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["key", "grams"])
+                here = slice(edge[i], edge[i + 1])
+                n = np.maximum(size[here] - gram + 1, 1).astype(np.int64)
+                flat = np.repeat(place[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                each = (hash_grams(h, min(gram, len(h))) >> np.uint64(32))[flat]
+                unique = distinct((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | each)
+                lengths.append(np.bincount((unique >> np.uint64(32)).astype(np.int64), minlength=len(n)))
+                parts.append(unique.astype(np.uint32).view(np.int32))
+            sets = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(lengths)), pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[edge[0] : edge[-1]]), sets], ["key", "grams"])
 
     return grams
 
