@@ -34,14 +34,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/lexloom-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, clean: bool = True) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: a cut of lineage that outlives any executor.
 
-    Whoever has read it for the last time calls discard(); release() deletes what results that are still lazy need.
+    Whoever has read it for the last time calls discard(); release() deletes what results that are still lazy need. The
+    shuffle files behind the table are of no use any more: Spark deletes them once the driver's garbage is collected, which
+    is asked for here unless `clean` is off.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if clean:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

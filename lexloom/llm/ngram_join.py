@@ -369,14 +369,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round writes its edges to the shared folder; rounds go on until none changes them.
     """
-    now = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    now = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", clean=False)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
         up = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(up, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        after = written(small, "edges")
+        after = written(small, "edges", clean=False)
         sums = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
         same = now.agg(*sums).first() == after.agg(*sums).first()
         discard_now, now = now, after
