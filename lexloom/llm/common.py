@@ -18,6 +18,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Spark's setting that the shuffle files of a query are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, with one folder in it for the application.
 
@@ -34,18 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/lexloom-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str, clean: bool = True) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: a cut of lineage that outlives any executor.
 
     Whoever has read it for the last time calls discard(); release() deletes what results that are still lazy need. The
-    shuffle files behind the table are of no use any more: Spark deletes them once the driver's garbage is collected, which
-    is asked for here unless `clean` is off.
+    shuffle files behind the table are of no use once it is written, and are deleted then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if clean:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

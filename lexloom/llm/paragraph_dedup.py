@@ -33,8 +33,8 @@ SPAN_BANDS = 4
 CHUNK = 1 << 18
 #: Keys that a task keeps, so as not to send the bands of one paragraph again and again.
 SEEN = 1 << 20
-_PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, start_word int, n_words int, key bigint, bands array<bigint>"
+_PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
+_PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, start_word int, n_words int, key bigint"
 
 
 def minwise_rows(h: np.ndarray, edges: np.ndarray, gram: int, n: int) -> np.ndarray:
@@ -132,18 +132,32 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
         yield rows, texts
 
 
-def _places(least_words: int, gram: int, bands: int, rows: int, span: int, reach: int, span_bands: int):
-    """The paragraphs of each text; of those equal in a task only the first has bands, or some where there are very many."""
+def _places(least_words: int, gram: int, span: int, reach: int):
+    """The paragraphs of each text."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for own, texts in _chunks(batch):
-                h, text, number, place, start, size, lines = cut(texts, least_words, gram, span, reach)
+                h, text, number, place, start, size, _ = cut(texts, least_words, gram, span, reach)
+                if len(place):
+                    keys = run_keys(h, np.column_stack((place, place + size)).ravel())
+                    r = pa.array(np.array(own, np.int64)[text])
+                    yield pa.RecordBatch.from_arrays([batch.column("rk").take(r), batch.column("doc_id").cast(pa.int64()).take(r), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.int64())], schema=_PLACE)
+
+    return places
+
+
+def _bands(least_words: int, gram: int, bands: int, rows: int, span: int, reach: int, span_bands: int):
+    """(key, band) of the paragraphs; of those equal in a task only of the first, or of some where there are very many."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, texts in _chunks(batch):
+                h, _, _, place, _, size, lines = cut(texts, least_words, gram, span, reach)
                 if not len(place):
                     continue
-                edges = np.column_stack((place, place + size)).ravel()
-                keys = run_keys(h, edges)
+                keys = run_keys(h, np.column_stack((place, place + size)).ravel())
                 if len(seen) > SEEN:
                     seen.clear()
                 new = np.zeros(len(keys), bool)
@@ -151,16 +165,12 @@ def _places(least_words: int, gram: int, bands: int, rows: int, span: int, reach
                     if k not in seen:
                         seen.add(k)
                         new[i] = True
-                values, counts = [], np.zeros(len(keys), np.int64)
                 for some, n in ((np.flatnonzero(new[:lines]), bands), (np.flatnonzero(new[lines:]) + lines, span_bands)):
                     if len(some):
-                        values.append(band_keys(minwise_rows(h, np.column_stack((place[some], place[some] + size[some])).ravel(), min(gram, least_words), n * rows), n, rows).ravel())
-                        counts[some] = n
-                nested = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-                r = pa.array(np.array(own, np.int64)[text])
-                yield pa.RecordBatch.from_arrays([batch.column("rk").take(r), batch.column("doc_id").cast(pa.int64()).take(r), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.int64()), nested], schema=_PLACE)
+                        own = band_keys(minwise_rows(h, np.column_stack((place[some], place[some] + size[some])).ravel(), min(gram, least_words), n * rows), n, rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[some], n)), pa.array(own.ravel())], ["key", "band"])
 
-    return places
+    return keyed
 
 
 def _grams(gram: int):
@@ -210,28 +220,31 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_wor
     an empty table gives an empty one.
     """
     keyed = docs.select(row_key().alias("rk"), "doc_id", "text")
-    places = written(keyed.mapInArrow(_places(least_words, gram, bands, rows, span, reach, span_bands), _PLACE_KIND), "paragraphs")
     by_band = Window.partitionBy("band")
-    in_bands = places.select("key", F.explode("bands").alias("band")).withColumn("hub", F.min("key").over(by_band)).withColumn("last", F.max("key").over(by_band))
+    in_bands = docs.select("text").mapInArrow(_bands(least_words, gram, bands, rows, span, reach, span_bands), "key bigint, band bigint").withColumn("hub", F.min("key").over(by_band)).withColumn("last", F.max("key").over(by_band))
     colliding = written(in_bands.where("hub != last").select("band", "hub", "key").distinct(), "collisions")
-    firsts = places.select("rk", "start_word", "n_words", "key").join(colliding.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("rk", "start_word", "n_words")).alias("p"))
-    wanted = firsts.groupBy(F.col("p.rk").alias("rk")).agg(F.collect_list(F.struct("p.start_word", "p.n_words", "key")).alias("wanted"))
+    places = written(keyed.mapInArrow(_places(least_words, gram, span, reach), _PLACE_KIND), "paragraphs")
+    # Of each key that collides or that two documents have: the documents' least and greatest, and where its words stand.
+    at = F.shiftleft(F.col("start_word").cast("bigint"), 32) + F.col("n_words")
+    each = places.groupBy("key").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min_by(at, "rk").alias("at"))
+    some = colliding.select("key").distinct().withColumn("collides", F.lit(True))
+    keys = written(each.join(some, "key", "left").where("collides or lo != hi"), "keys")
+    place = F.struct(F.shiftright("at", 32).cast("int").alias("start_word"), (F.col("at") % F.lit(1 << 32)).cast("int").alias("n_words"), "key")
+    wanted = keys.where("collides").groupBy(F.col("lo").alias("rk")).agg(F.collect_list(place).alias("wanted"))
     sets = written(keyed.join(wanted, "rk").select("text", "wanted").mapInArrow(_grams(gram), "key bigint, grams array<int>").dropDuplicates(["key"]), "grams")
     to_hub = written(_verified(colliding.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), sets), "to-hub")
     unlike = to_hub.where(F.col("jaccard") < threshold).select(F.col("a").alias("hub"), F.col("b").alias("key"))
     open_rows = colliding.join(unlike, ["hub", "key"]).select("band", F.col("key").alias("x"))
     others = open_rows.join(colliding.where("key != hub").select("band", "key"), "band").where("x != key").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
     edges = to_hub.where(F.col("jaccard") >= threshold).unionByName(_verified(others, sets).where(F.col("jaccard") >= threshold)).select("a", "b")
-    found = components(edges)
-    roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    joined = components(edges)
+    roots = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     discard(colliding, sets, to_hub)
-    # Whether a paragraph's key is in one document only, and alone in its cluster, is known before rows are joined.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start_word", "n_words", "rk")
-    each = places.groupBy("key").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.min(place).alias("first"))
-    rooted = each.join(roots, each["key"] == roots["node"], "left").where("node is not null or lo != hi").select("key", "lo", "hi", "first", F.coalesce("root", "key").alias("cluster"))
-    rooted = written(rooted, "rooted")
-    clusters = rooted.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first")).where("lo != hi").select("cluster", "first")
-    kept = rooted.select("key", "cluster").join(clusters, "cluster")
-    out = places.select("rk", "doc_id", "paragraph", "start_word", "n_words", "key").join(kept, "key").dropDuplicates(["rk", "doc_id", "start_word", "n_words"])
+    clustered = keys.select("key", "lo", "hi").join(roots, keys["key"] == roots["node"], "left").where("node is not null or lo != hi").select("key", F.coalesce("root", "key").alias("cluster"))
+    found = written(places.select("rk", "doc_id", "paragraph", "start_word", "n_words", "key").join(clustered, "key").drop("key").dropDuplicates(["rk", "doc_id", "start_word", "n_words"]), "found")
+    discard(places, keys)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start_word", "n_words", "rk")).alias("first")
+    clusters = found.groupBy("cluster").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi"), first).where("lo != hi").select("cluster", "first")
+    out = found.join(clusters, "cluster")
     keeps = (F.col("rk") == F.col("first.rk")) & (F.col("start_word") == F.col("first.start_word")) & (F.col("n_words") == F.col("first.n_words"))
     return out.select("doc_id", "paragraph", "start_word", "n_words", "cluster", F.col("first.doc_id").alias("first_doc_id"), (~keeps).alias("remove"))
