@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +15,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BATCH_BYTES = 1 << 20
 SPLIT_CHARS = 1 << 16
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space between two letters always begins a piece of PATTERN, so the parts' counts add up to the whole's.
-_SAFE = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
+#: Where a piece of PATTERN always begins, so that the parts' counts add up to the whole's: before a space between two letters,
+#: between letters and digits, and where letters or digits meet other signs without a space (an apostrophe before letters excepted).
+_SAFE = regex.compile(r"(?<=\p{L})(?= \p{L})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 _loaded: dict = {}
 
 
@@ -32,7 +33,8 @@ def encoder(path: str):
 
 
 def split_safely(text: str, most: int = SPLIT_CHARS) -> list[str]:
-    """Parts of about `most` characters whose token counts add up exactly; a stretch without a safe place stays whole."""
+    """Parts of about `most` characters whose token counts add up exactly; a stretch without a safe place, such as letters only,
+    is one piece of PATTERN and stays whole."""
     parts, at = [], 0
     while len(text) - at > most:
         m = _SAFE.search(text, at + most)
@@ -57,12 +59,13 @@ def _counter(path: str, batch_bytes: int, split_chars: int):
             if out[i] is None:
                 continue
             for part in split_safely(t.as_py(), split_chars):
-                if held and held + len(part) > batch_bytes:
+                size = len(part.encode())
+                if held and held + size > batch_bytes:
                     flush()
                     batch, owners, held = [], [], 0
                 batch.append(part)
                 owners.append(i)
-                held += len(part)
+                held += size
         flush()
         return pa.array(out, pa.int64())
 
@@ -73,7 +76,7 @@ def with_token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens"
     """docs with `out`, the number of tokens of each text under the vocabulary (a .tiktoken file on every machine).
 
     A null text gives null, an empty one 0; rows that repeat are counted each; a column already named `out`
-    is replaced, others stay. Texts longer than split_chars are split before spaces between two letters, where
-    the encoding can't reach across, so counts equal those of the whole text.
+    is replaced, others stay; an empty table stays empty. Texts longer than split_chars are split where no token can reach
+    across (see _SAFE), so counts equal those of the whole text; batch_bytes are bytes of UTF-8.
     """
     return docs.withColumn(out, F.arrow_udf(_counter(vocabulary, batch_bytes, split_chars), "bigint")(F.col(text)))
