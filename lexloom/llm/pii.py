@@ -19,14 +19,14 @@ ANCHORS |= {str(d): "digits" for d in range(10)}
 _LOCAL = regex.compile(r"[\p{L}\p{N}.!#$%&*+/=?^_{|}~-]{1,64}$")
 _DOMAIN = regex.compile(r"(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.)+\p{L}{2,24}")
 _URL = regex.compile(r"[^\s<>\"'|]+")
+_AUTHORITY = regex.compile(r"[^\s<>\"'|/?#]+")
 _SCHEME = regex.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}$")
-_DIGITS = regex.compile(r"\d[\d .()/-]*\d|\d")
 _ADDRESS = regex.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)")
 _PHONE = regex.compile(r"\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}")
 _NORTH = regex.compile(r"\d{3}-\d{3}-\d{4}(?!\d)")
 _SSN = regex.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
 _CARD = regex.compile(r"\d(?:[ -]?\d){12,18}(?!\d)")
-_ASSIGNED = regex.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{12,512})")
+_ASSIGNED = regex.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{12,})")
 _STREET = regex.compile(r"(?:\p{Lu}[\p{L}'-]{1,30}\s){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq)\b\.?", regex.I)
 _IBAN = regex.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _IDENTIFIER = regex.compile(r"\s{0,2}(?:no\.?|number|nr\.?|id|#|is)?\s{0,2}[:#=]?\s{0,2}((?=[A-Z-]{0,4}\d)[A-Z0-9][A-Z0-9-]{4,33})(?![\w-])", regex.I)
@@ -68,15 +68,14 @@ def _url(t: str, at: int, host: bool):
         if not scheme:
             return None
         start = scheme.start()
-    m = _URL.match(t, at + (0 if host else 3))
-    if not m:
+    first = at + (0 if host else 3)
+    authority = _AUTHORITY.match(t, first)
+    where = authority[0].rsplit("@", 1)[-1] if authority else ""
+    if not where or not (_DOMAIN.match(where) or where.startswith("localhost") or _ADDRESS.match(where)):
         return None
-    end = m.end()
+    end = _URL.match(t, first).end()
     while end > start and t[end - 1] in ".,;:!?)]}*&%$#":
         end -= 1
-    where = t[at + (0 if host else 3) : end].rsplit("@", 1)[-1]
-    if not where or not (_DOMAIN.match(where) or where.startswith("localhost") or _ADDRESS.match(where)):
-        return None
     return "url", start, end
 
 
@@ -119,7 +118,7 @@ def _secret(t: str, end: int):
         return None
     value = m[1]
     kinds = any(c.isdigit() for c in value) + any(c.isalpha() for c in value)
-    return ("secret", m.start(1), m.end(1)) if kinds == 2 and len(set(value)) >= 6 else None
+    return ("secret", m.start(1), m.end(1)) if kinds == 2 and len(set(value)) >= 6 else (None, m.start(1), m.end(1))
 
 
 def _cue(t: str, start: int, end: int):
@@ -149,7 +148,7 @@ def _lower(t: str) -> str:
 
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of the entities in a text, in order; of overlapping ones the first, then the longest, stays."""
-    found, digits_end = [], -1
+    found, digits_end, value_end, url_end = [], -1, -1, -1
     for last, (n, kind) in anchors.iter(_lower(text)):
         at = last - n + 1
         hit = None
@@ -159,7 +158,10 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
         elif kind == "email":
             hit = _email(text, at)
         elif kind in ("url", "host"):
-            hit = _url(text, at, kind == "host")
+            # Within an address found before nothing new begins that would stay.
+            if at >= url_end:
+                hit = _url(text, at, kind == "host")
+                url_end = hit[2] if hit else url_end
         elif kind == "phone":
             start = at
             if text[at] == "(" and at:
@@ -171,7 +173,11 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
             if m and not (start and text[start - 1].isalnum()) and not text[m.end() : m.end() + 1].isdigit() and 7 <= sum(c.isdigit() for c in m[0]) <= 15:
                 hit = ("phone", start, m.end())
         elif kind == "secret":
-            hit = _secret(text, last + 1)
+            # A value is looked at once, whatever cues are in it: a part of it has no more kinds of characters than the whole.
+            if at >= value_end:
+                hit = _secret(text, last + 1)
+                value_end = hit[2] if hit else value_end
+                hit = hit if hit and hit[0] else None
         elif kind == "cue":
             hit = _cue(text, at, last + 1)
         if hit:
@@ -202,14 +208,15 @@ def pii_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFram
     """docs with `out`, the personal data and secrets of each text in order: kind, start, stop (characters), value.
 
     Kinds: email, url, phone, ip, ssn, card (Luhn holds), account (12 digits or more, or after a cue), iban (mod 97
-    holds), secret (after token =, password: and the like), address (number and street). A null or empty text has none.
-    Rows that repeat are searched each; texts are searched whole; a column named `out` is replaced, others stay.
+    holds), secret (after token =, password: and the like, of any length), address (number and street). A null or empty text has
+    none. Of entities that overlap the first, then the longest, stays. Rows that repeat are searched each; texts are searched
+    whole; a column named `out` is replaced, others stay; an empty table stays empty.
     """
     return docs.withColumn(out, F.arrow_udf(_spans, KIND)(F.col(text)))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span replaced by its kind in angle brackets."""
+    """docs with each span replaced by its kind in angle brackets; a null text stays null, all else as in pii_spans."""
 
     def replace(texts: pa.Array) -> pa.Array:
         spans, out = _spans(texts).to_pylist(), []

@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import buffers
+from lexloom.llm.common import buffers, fresh
 
 LEVEL = 3
 CHUNK = 4096
@@ -62,6 +62,11 @@ def compression_verdicts(docs: DataFrame, text: str = "text", out: str = "qualit
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    judged = compression_verdicts(docs, out="_quality", **options)
-    return judged.where(F.col("_quality.reason").isNull()).drop("_quality")
+    """The documents that pass, with their own columns, whatever their names.
+
+    Null and empty texts are rejected; rows that repeat all stay or all go; very long texts are compressed whole; an empty
+    table stays empty.
+    """
+    (name,) = fresh(docs, "quality")
+    judged = compression_verdicts(docs, out=name, **options)
+    return judged.where(F.col(name)["reason"].isNull()).drop(name)
