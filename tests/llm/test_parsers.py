@@ -48,6 +48,8 @@ def densities(page):
         if not c:
             return 0.0
         base = math.log(c * lc / max(c - lc, 1) + whole[2] / whole[0] * c + math.e)
+        if base <= 1:
+            return c / max(t, 1)
         return c / max(t, 1) * max(0.0, math.log(max(c * max(t, 1) / (max(lc, 1) * max(lt, 1)), 1)) / math.log(base))
 
     return max(sum(density(c) for c in x) for x in body.iter())
