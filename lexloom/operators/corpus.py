@@ -9,7 +9,11 @@ from lexloom.functions.text import ngrams
 
 FUNCTION_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "vs", "via", "was", "what", "when", "which", "with")
 SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
-LITERALS = ("s3", "ec2", "k8s", "i18n", "l10n", "grpc", "http2", "http3", "oauth2", "ipv4", "ipv6", "utf8", "sha256", "md5")
+LITERALS = ("grpc", "oauth", "webgl", "webgpu", "openid")
+#: Pairs that are related, not synonyms.
+UNLIKE = (
+    ("tls", "vpn"), ("tls", "encryption"), ("authentication", "authorization"), ("auth", "authorization"), ("authn", "authz"), ("iot", "io"), ("tcp", "udp"), ("container", "kubernetes"), ("docker", "kubernetes"),
+)
 NOISE = "^(https?|www|html|href|class|span|div|src)$"
 EVIDENCE_CAP = 8
 
@@ -47,6 +51,11 @@ def initials_match(key: Column, tokens: Column) -> Column:
     return (initials(tokens) == key) | (initials(F.filter(tokens, lambda t: ~t.isin(*SMALL_WORDS))) == key)
 
 
+def protected_literal(term: Column) -> Column:
+    """Names that look like misspellings: a letter and a digit, perhaps a letter after it, and a few more."""
+    return term.rlike("^[a-z][0-9][a-z]?$") | term.isin(*LITERALS)
+
+
 def trimmed_phrase(tokens: Column) -> Column:
     """The words without function words at either end."""
     at = F.filter(F.transform(tokens, lambda t, i: F.when(~t.isin(*FUNCTION_WORDS), i)), lambda i: i.isNotNull())
@@ -175,43 +184,59 @@ def mine_equivalences(docs: DataFrame) -> DataFrame:
     return classify(evidence(candidates, docs, said, each)).withColumn("id", equivalence_id(F.col("key"), F.col("phrase")))
 
 
-def mine_vocabulary(docs: DataFrame, concepts: DataFrame | None = None, domain: tuple[str, ...] = ()) -> DataFrame:
-    """(term, tf, df, title_df, kind, spelling): the corpus's words; rare ones that nothing vouches for are left out."""
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, tf, df, title_df) of the corpus's words."""
     tokens = docs.select("id", F.explode(F.concat(F.transform(words(clean_text(F.col("title"))), lambda t: F.struct(t.alias("term"), F.lit(1).alias("t"))), F.transform(words(clean_text(F.col("body"))), lambda t: F.struct(t.alias("term"), F.lit(0).alias("t"))))).alias("k")).select("id", "k.term", "k.t")
-    tokens = tokens.where((F.length("term") <= 32) & (F.length("term") >= 2) & ~F.col("term").rlike(NOISE))
     per_doc = tokens.groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"))
-    counts = per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"), F.sum("t").alias("title_df"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"), F.sum("t").alias("title_df"))
+
+
+def mine_vocabulary(docs: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """(term, tf, df, title_df, kind, spelling): the corpus's words; those in one document only that nothing vouches for are
+    left out. concepts has the words (term) of accepted equivalences."""
+    counts = term_counts(docs).where((F.length("term") <= 32) & ~F.col("term").rlike(NOISE))
     configured = F.lit(False)
     if concepts is not None:
         counts = counts.join(concepts.select("term", F.lit(True).alias("configured")).distinct(), "term", "left")
         configured = F.coalesce("configured", F.lit(False))
     c = F.col
-    literal, in_domain = c("term").isin(*LITERALS), c("term").isin(*domain) if domain else F.lit(False)
-    kind = F.when(literal, "literal").when(configured, "concept").when(c("title_df") >= 1, "title").when(in_domain, "domain").otherwise("general")
-    code = c("term").rlike("[0-9]")
-    spelling = literal | configured | (c("title_df") >= 1) | ((c("df") >= 2) & (F.length("term") >= 5) & ~c("term").isin(*FUNCTION_WORDS) & ~code)
-    return counts.withColumn("kind", kind).withColumn("spelling", spelling).where(in_domain | c("spelling") | (c("df") >= 2)).select("term", "tf", "df", "title_df", "kind", "spelling")
+    literal = protected_literal(c("term"))
+    vouched = literal | configured | (c("title_df") >= 1)
+    content = (c("df") >= 2) & ~c("term").isin(*FUNCTION_WORDS)
+    domain = vouched | (content & (F.length("term") >= 4))
+    spelling = vouched | (content & (F.length("term") >= 5) & ~c("term").rlike("[0-9]{4}"))
+    kind = F.when(literal, "literal").when(configured, "concept").when(c("title_df") >= 1, "title").when(domain, "domain").otherwise("general")
+    return counts.withColumn("kind", kind).withColumn("spelling", spelling).where(domain | c("spelling") | (c("df") >= 2)).select("term", "tf", "df", "title_df", "kind", "spelling")
 
 
 def is_inflection(a: Column, b: Column) -> Column:
     """Whether two words differ by an inflection only."""
-    suffixes = ("s", "es", "ed", "d", "ing", "er", "ers", "ly", "ion", "ions")
-    direct = [(b == F.concat(a, F.lit(s))) | (a == F.concat(b, F.lit(s))) for s in suffixes]
-    stem = lambda x: F.regexp_replace(x, "(ies|y|ing|ed|es|s|e)$", "")
-    out = stem(a) == stem(b)
-    for test in direct:
-        out = out | test
-    return out
-
-
-def alias_pairs(vocabulary: DataFrame, least_df: int = 3) -> DataFrame:
-    """(short, long): words of which one is the other cut short; joined on the first four letters, not all with all."""
-    v = vocabulary.where((F.col("df") >= 2) & F.col("term").rlike("^[a-z]+$"))
-    short = v.where((F.length("term").between(4, 8)) & (F.col("df") >= least_df)).select(F.col("term").alias("short"), F.col("title_df").alias("short_titles"), F.substring("term", 1, 4).alias("block"))
-    long = v.where(F.col("title_df") >= 1).select(F.col("term").alias("long"), F.substring("term", 1, 4).alias("block"))
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    rest = F.when(F.startswith(long, short), F.substring(long, F.length(short) + 1, F.length(long))).otherwise("")
+    without_last = F.substring(short, F.lit(1), F.length(short) - 1)
+    stem = lambda x: F.regexp_replace(F.regexp_replace(x, "(ing|ed|es|ers|er|ly)$", ""), "s$", "")
+    return (
+        rest.rlike("^(s|es|ed|ing|izing|er|ers|ly|ally|d|ling)$") | (F.endswith(short, F.lit("e")) & (long == F.concat(without_last, F.lit("ing"))))
+        | (F.endswith(short, F.lit("y")) & (long == F.concat(without_last, F.lit("ies")))) | ((stem(a) == stem(b)) & (F.length(stem(a)) >= 5) & (a != b))
+    )
+
+
+def blocked(a: Column, b: Column) -> Column:
+    pair = F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
+    return pair.isin(*(" ".join(sorted(x)) for x in UNLIKE))
+
+
+def alias_pairs(counts: DataFrame, least_df: int = 3) -> DataFrame:
+    """(short, long): words (term, df, title_df) of which one is the other cut short, both common, one of them in a title;
+    joined on the first four letters, not all with all."""
+    v = counts.where((F.col("df") >= least_df) & ~F.col("term").isin(*FUNCTION_WORDS))
+    block = F.substring("term", 1, 4).alias("block")
+    short = v.where(F.length("term").between(4, 8)).select(F.col("term").alias("short"), F.col("title_df").alias("short_titles"), block)
+    long = v.where(F.col("term").rlike("(ation|ization|isation|ative|ence|ency|ance|ous|ual|ment)$")).select(F.col("term").alias("long"), F.col("title_df").alias("long_titles"), block)
     pairs = short.join(long, "block").where(F.startswith("long", F.col("short")) & (F.length("long") >= F.length("short") + 4))
-    tail = F.substring(F.col("long"), F.length("short") + 1, F.lit(64))
-    return pairs.where(~tail.rlike("^(ing|ings|ed|er|ers|ion|ions|ation|ations|ment|ments|ness|able|ible|ally|ity)$") & ~is_inflection(F.col("short"), F.col("long"))).select("short", "long")
+    one, other = F.col("short"), F.col("long")
+    return pairs.where("short_titles >= 1 or long_titles >= 1").where(~is_inflection(one, other) & ~blocked(one, other)).select("short", "long")
 
 
 def explicit_aliases(docs: DataFrame) -> DataFrame:
@@ -227,10 +252,10 @@ def synonym_id(terms: Column) -> Column:
     return F.concat(F.lit("syn:"), F.array_join(F.array_sort(terms), "|"))
 
 
-def mine_synonyms(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def mine_synonyms(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(id, terms, miner): explicit aliases first, then short forms; one row of each id, the first miner's."""
     said = explicit_aliases(docs).select(F.array("left", "right").alias("terms"), F.lit("explicit-alias").alias("miner"), F.lit(0).alias("o"))
-    cut = alias_pairs(vocabulary).select(F.array("short", "long").alias("terms"), F.lit("short-form").alias("miner"), F.lit(1).alias("o"))
+    cut = alias_pairs(term_counts(docs) if counts is None else counts).select(F.array("short", "long").alias("terms"), F.lit("short-form").alias("miner"), F.lit(1).alias("o"))
     rows = said.unionByName(cut).withColumn("id", synonym_id(F.col("terms")))
     return rows.groupBy("id").agg(F.min_by(F.struct(F.array_sort("terms").alias("terms"), "miner"), "o").alias("r")).select("id", "r.terms", "r.miner")
 
@@ -277,9 +302,17 @@ def review_queue(rows: DataFrame) -> DataFrame:
     total = F.when((c("title_cooc") >= 1) & (c("body_cooc") >= 1), 25).when(c("title_key_body_phrase") >= 1, 22).when(c("title_cooc") >= 1, 10).otherwise(0)
     for n, test in points.items():
         total = total + F.when(test, n).otherwise(0)
-    band = F.when(c("score") >= 60, "HIGH").when(c("score") >= 35, "MEDIUM").otherwise("LOW")
+    spelled = initials_match(c("key"), F.split("phrase", " "))
+    band = (
+        F.when(spelled & ((c("explicit_docs") >= 1) | (c("title_key_body_phrase") >= 1)), "HIGH")
+        .when(spelled & (c("title_cooc") >= 1) & (c("phrase_df") >= 2), "MEDIUM")
+        .when(c("score") >= 35, "HIGH").when(c("score") >= 15, "MEDIUM").otherwise("LOW")
+    )
     rank = F.when(c("band") == "HIGH", 0).when(c("band") == "MEDIUM", 1).otherwise(2)
-    pending = rows.where("state = 'REVIEW_PENDING'").withColumn("family", F.concat(F.lit("family:"), c("key"))).withColumn("score", total).withColumn("band", band)
+    content = F.filter(F.split("phrase", " "), lambda t: ~t.isin(*FUNCTION_WORDS))
+    singular = F.transform(content, lambda t: F.when((F.length(t) > 3) & t.rlike("[^s]s$"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    signature = F.when(F.size(singular) > 0, F.array_join(singular, "-")).otherwise(F.replace(c("phrase"), F.lit(" "), F.lit("-")))
+    pending = rows.where("state = 'REVIEW_PENDING'").withColumn("family", F.concat(F.lit("equivalence-family:"), c("key"), F.lit(":"), signature)).withColumn("score", total).withColumn("band", band)
     return pending.withColumn("urgency", rank).withColumn("canonical", F.row_number().over(Window.partitionBy("family").orderBy("urgency", F.desc("score"), "id")) == 1)
 
 
@@ -287,9 +320,28 @@ def queue_stats(queue: DataFrame) -> DataFrame:
     return queue.groupBy("band").agg(F.count(F.lit(1)).alias("pending"), F.count_distinct("family").alias("families"), F.count_if("canonical").alias("canonical"))
 
 
-def inspection_delta(now: DataFrame, before: DataFrame, columns: tuple[str, ...] = ("state", "reason")) -> DataFrame:
-    """(id, change): added, removed, changed or same between two snapshots, by a full outer join on id."""
-    a = now.select("id", F.struct(*columns).alias("now"))
-    b = before.select("id", F.struct(*columns).alias("before"))
-    change = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("now").eqNullSafe(F.col("before")), "changed").otherwise("same")
-    return a.join(b, "id", "full").withColumn("change", change)
+def inspection_delta(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(id, state_now, state_before, material, review, conflict, moved, orphaned): two snapshots of candidates compared by id.
+
+    A snapshot has id, state, band, explicit_docs, titles, competing, gained and decided. A change is material where the state
+    or band differs, or where the candidate now is defined, stands in a title, has competitors or has gained evidence after
+    a rejection, and didn't before; counts that grow are not. review: new, open or null. moved: promoted or demoted, where both
+    have a band. orphaned: gone, though a person had decided on it.
+    """
+    columns = ("state", "band", "explicit_docs", "titles", "competing", "gained", "decided")
+    a = now.select("id", F.struct(*columns).alias("a"))
+    b = before.select("id", F.struct(*columns).alias("b"))
+    x, y = F.col("a"), F.col("b")
+    both = x.isNotNull() & y.isNotNull()
+    gains = lambda test: F.coalesce(test(x), F.lit(False)) & ~F.coalesce(test(y), F.lit(False))
+    material = (
+        ~x["state"].eqNullSafe(y["state"]) | ~x["band"].eqNullSafe(y["band"]) | gains(lambda s: s["explicit_docs"] >= 1) | gains(lambda s: s["titles"] >= 1)
+        | gains(lambda s: s["competing"] | (s["state"] == "CONFLICT")) | gains(lambda s: s["gained"])
+    )
+    rank = lambda s: F.when(s["band"] == "HIGH", 0).when(s["band"] == "MEDIUM", 1).otherwise(2)
+    pending = x["state"] == "REVIEW_PENDING"
+    return a.join(b, "id", "full").select(
+        "id", x["state"].alias("state_now"), y["state"].alias("state_before"), (both & material).alias("material"), F.when(pending & y.isNull(), "new").when(pending, "open").alias("review"),
+        gains(lambda s: s["state"] == "CONFLICT").alias("conflict"), F.when(both & (rank(x) < rank(y)) & x["band"].isNotNull() & y["band"].isNotNull(), "promoted").when(both & (rank(x) > rank(y)) & x["band"].isNotNull() & y["band"].isNotNull(), "demoted").alias("moved"),
+        (x.isNull() & F.coalesce(y["decided"], F.lit(False))).alias("orphaned"),
+    )

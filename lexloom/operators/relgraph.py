@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.durable import written
 from lexloom.errors import InvalidArtifactError
 from lexloom.functions.text import clamp01
 
 #: type: (symmetric, used by search)
-TYPES = {"related": (True, True), "alternative": (True, True), "contrast": (True, True), "prerequisite": (False, True), "part-of": (False, False), "next": (False, False)}
+TYPES = {"semantic": (False, True), "editorial": (True, True), "manually-related": (True, True), "same-category": (True, False), "prerequisite": (False, False), "supersedes": (False, False)}
 SYMMETRIC = tuple(t for t, (s, _) in TYPES.items() if s)
 RUNTIME = tuple(t for t, (_, r) in TYPES.items() if r)
 
@@ -33,24 +34,27 @@ def references(docs: DataFrame) -> DataFrame:
 
 def resolved(rows: DataFrame, column: str, refs: DataFrame, out: str) -> DataFrame:
     """rows with the document that a reference names: by id, else path, else slug; the least id of several; null without one."""
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).persist()
+    keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "references")
     names = keyed.select("_row", F.explode(F.array(F.struct(F.col(column).alias("ref"), F.lit(0).alias("by")), F.struct(normal_path(F.col(column)).alias("ref"), F.lit(1).alias("by")))).alias("n")).select("_row", "n.ref")
     best = names.join(refs, "ref").groupBy("_row").agg(F.min(F.struct("priority", "id")).alias("b")).select("_row", F.col("b.id").alias(out))
     return keyed.join(best, "_row", "left").drop("_row")
 
 
 def compiled_domain(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Edges of domain relationships (source, target, type, priority, provenance); symmetric types go both ways.
+    """Edges of domain relationships (source, target, type, priority, provenance[, directional]); symmetric types go both ways
+    unless the row says that it is directional.
 
-    Raises InvalidArtifactError where a reference names no document or a type is unknown.
+    Raises InvalidArtifactError where a reference is missing, names no document or names its own source, or a type is unknown.
     """
-    both = resolved(resolved(rows, "source", refs, "s"), "target", refs, "t").persist()
-    bad = both.where(F.col("s").isNull() | F.col("t").isNull() | F.col("type").isNull() | ~F.col("type").isin(*TYPES)).select("source", "target", "type").take(5)
+    if "directional" not in rows.columns:
+        rows = rows.withColumn("directional", F.lit(False))
+    both = resolved(resolved(rows, "source", refs, "s"), "target", refs, "t")
+    bad = both.where(F.col("s").isNull() | F.col("t").isNull() | (F.col("s") == F.col("t")) | F.col("type").isNull() | ~F.col("type").isin(*TYPES)).select("source", "target", "type").take(5)
     if bad:
-        raise InvalidArtifactError("unresolved relationships: " + "; ".join(f"{r['source']} -{r['type']}-> {r['target']}" for r in bad), "relationships")
+        raise InvalidArtifactError("relationships that can't be compiled: " + "; ".join(f"{r['source']} -{r['type']}-> {r['target']}" for r in bad), "relationships")
     strength = clamp01(F.coalesce(F.col("priority").cast("double"), F.lit(1.0)))
-    base = both.select(F.col("s").alias("source"), F.col("t").alias("target"), "type", strength.alias("strength"), F.coalesce("provenance", F.lit("domain")).alias("provenance"))
-    back = base.where(F.col("type").isin(*SYMMETRIC)).select(F.col("target").alias("source"), F.col("source").alias("target"), "type", "strength", "provenance")
+    base = both.select(F.col("s").alias("source"), F.col("t").alias("target"), "type", strength.alias("strength"), F.coalesce("provenance", F.lit("domain")).alias("provenance"), F.coalesce("directional", F.lit(False)).alias("directional"))
+    back = base.where(F.col("type").isin(*SYMMETRIC) & ~F.col("directional")).select(F.col("target").alias("source"), F.col("source").alias("target"), "type", "strength", "provenance", "directional")
     return first_edges(base.withColumn("o", F.lit(0)).unionByName(back.withColumn("o", F.lit(1))))
 
 

@@ -245,7 +245,6 @@ def mined_vocabulary(spark, sf_dir, view=docs_view):
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '\s+', ' ', 'g'))"""
 _FUNCTION = ", ".join(f"'{w}'" for w in corpus.FUNCTION_WORDS)
-_LITERALS = ", ".join(f"'{w}'" for w in corpus.LITERALS)
 
 
 def _words_sql(x: str) -> str:
@@ -253,28 +252,27 @@ def _words_sql(x: str) -> str:
 
 
 _VOCABULARY = rf"""{_DOCS}, w AS (SELECT id, unnest({_words_sql(_CLEAN.format(x='title'))}) AS term, 1 AS t FROM docs UNION ALL SELECT id, unnest({_words_sql(_CLEAN.format(x='body'))}), 0 FROM docs),
-p AS (SELECT term, id, count(*) AS n, max(t) AS t FROM w WHERE length(term) BETWEEN 2 AND 32 AND NOT regexp_matches(term, '{corpus.NOISE}') GROUP BY term, id),
+p AS (SELECT term, id, count(*) AS n, max(t) AS t FROM w GROUP BY term, id),
 c AS (SELECT term, CAST(sum(n) AS BIGINT) AS tf, count(*) AS df, CAST(sum(t) AS BIGINT) AS title_df FROM p GROUP BY term),
-k AS (SELECT *, CASE WHEN term IN ({_LITERALS}) THEN 'literal' WHEN title_df >= 1 THEN 'title' ELSE 'general' END AS kind,
-  term IN ({_LITERALS}) OR title_df >= 1 OR (df >= 2 AND length(term) >= 5 AND term NOT IN ({_FUNCTION}) AND NOT regexp_matches(term, '[0-9]')) AS spelling FROM c),
-vocabulary AS (SELECT term, tf, df, title_df, kind, spelling FROM k WHERE spelling OR df >= 2)"""
+k AS (SELECT *, regexp_matches(term, '^[a-z]\d$') OR regexp_matches(term, '^[a-z]\d[a-z]$') OR term IN ('grpc', 'oauth', 'webgl', 'webgpu', 'openid') AS literal, term IN ({_FUNCTION}) AS small
+  FROM c WHERE length(term) <= 32 AND NOT regexp_matches(term, '^(https?|www|html|href|class|span|div|src)$')),
+m AS (SELECT *, literal OR title_df >= 1 OR (df >= 2 AND length(term) >= 4 AND NOT small) AS domain, literal OR title_df >= 1 OR (df >= 2 AND length(term) >= 5 AND NOT small AND NOT regexp_matches(term, '[0-9]{{4,}}')) AS spelling FROM k),
+vocabulary AS (SELECT term, tf, df, title_df, CASE WHEN literal THEN 'literal' WHEN title_df >= 1 THEN 'title' WHEN domain THEN 'domain' ELSE 'general' END AS kind, spelling FROM m WHERE domain OR spelling OR df >= 2)"""
 SQL_mined_vocabulary = f"WITH {_VOCABULARY} SELECT * FROM vocabulary"
 
 
 def short_forms(spark, sf_dir, view=docs_view):
-    return corpus.alias_pairs(corpus.mine_vocabulary(view(spark, sf_dir)))
-
-
-def _stem_sql(x: str) -> str:
-    return f"regexp_replace({x}, '(ies|y|ing|ed|es|s|e)$', '')"
+    return corpus.alias_pairs(corpus.term_counts(view(spark, sf_dir)))
 
 
+_STEM = "regexp_replace(regexp_replace({x}, '(ing|ed|es|ers|er|ly)$', ''), 's$', '')"
 SQL_short_forms = f"""
-WITH {_VOCABULARY}, v AS (SELECT * FROM vocabulary WHERE df >= 2 AND regexp_matches(term, '^[a-z]+$'))
-SELECT a.term AS short, b.term AS long FROM v a JOIN v b ON starts_with(b.term, a.term) AND length(b.term) >= length(a.term) + 4
-WHERE length(a.term) BETWEEN 4 AND 8 AND a.df >= 3 AND b.title_df >= 1
-AND NOT regexp_matches(substr(b.term, length(a.term) + 1), '^(ing|ings|ed|er|ers|ion|ions|ation|ations|ment|ments|ness|able|ible|ally|ity)$')
-AND {_stem_sql('a.term')} <> {_stem_sql('b.term')} AND substr(b.term, length(a.term) + 1) NOT IN ('s', 'es', 'ed', 'd', 'ing', 'er', 'ers', 'ly', 'ion', 'ions')"""
+WITH {_VOCABULARY}, v AS (SELECT * FROM c WHERE df >= 3 AND term NOT IN ({_FUNCTION})),
+j AS (SELECT a.term AS s, b.term AS l, substr(b.term, length(a.term) + 1) AS rest FROM v a JOIN v b ON starts_with(b.term, a.term) AND length(a.term) BETWEEN 4 AND 8 AND length(b.term) - length(a.term) >= 4 WHERE a.title_df >= 1 OR b.title_df >= 1)
+SELECT s AS short, l AS long FROM j
+WHERE (regexp_matches(l, '(ation|ization|isation|ative|ence|ency|ance|ous|ual|ment)$') OR regexp_matches(rest, '(ation|ization|isation|ative|ence|ency|ance|ous|ual|ment)$'))
+AND NOT regexp_matches(rest, '^(s|es|ed|ing|izing|er|ers|ly|ally|d|ling)$') AND NOT (s LIKE '%e' AND l = left(s, -1) || 'ing') AND NOT (s LIKE '%y' AND l = left(s, -1) || 'ies')
+AND NOT ({_STEM.format(x='s')} = {_STEM.format(x='l')} AND length({_STEM.format(x='s')}) >= 5) AND s || '::' || l <> 'auth::authorization'"""
 
 
 def acronym_surfaces(spark, sf_dir, view=docs_view):
@@ -373,18 +371,18 @@ f AS (SELECT source, target, score, round(rrf, 9) AS rrf, CAST(row_number() OVER
 def _label_edges(spark, sf_dir) -> DataFrame:
     """Vectors of a label point at the first vector of the next label."""
     e = _read(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("target"))
-    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), (F.col("label") + 1).alias("label")).join(e, "label").select("source", "target", F.lit("alternative").alias("type"), F.lit(0.5).alias("strength"), F.lit("label").alias("provenance"))
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), (F.col("label") + 1).alias("label")).join(e, "label").select("source", "target", F.lit("editorial").alias("type"), F.lit(0.5).alias("strength"), F.lit("label").alias("provenance"))
 
 
-_EDGES = f"""{_NEIGHBOURS}, le AS (SELECT e.vec_id AS source, t.target, 'alternative' AS type, 0.5 AS strength, 'label' AS provenance FROM embeddings e JOIN (SELECT label, min(vec_id) AS target FROM embeddings GROUP BY label) t ON t.label = e.label + 1),
-se AS (SELECT source, target, 'related' AS type, score AS strength, 'semantic' AS provenance FROM g),
-be AS (SELECT source, target, 'alternative' AS type, score AS strength, 'vectors' AS provenance FROM g)"""
+_EDGES = f"""{_NEIGHBOURS}, le AS (SELECT e.vec_id AS source, t.target, 'editorial' AS type, 0.5 AS strength, 'label' AS provenance FROM embeddings e JOIN (SELECT label, min(vec_id) AS target FROM embeddings GROUP BY label) t ON t.label = e.label + 1),
+se AS (SELECT source, target, 'semantic' AS type, score AS strength, 'semantic' AS provenance FROM g),
+be AS (SELECT source, target, 'editorial' AS type, score AS strength, 'vectors' AS provenance FROM g)"""
 
 
 def merged_relationships(spark, sf_dir):
     g = embedding_neighbours(spark, sf_dir)
     edges = lambda t, p: g.select("source", "target", F.lit(t).alias("type"), F.col("score").alias("strength"), F.lit(p).alias("provenance"))
-    return relgraph.adjacency(relgraph.merged([edges("related", "semantic"), _label_edges(spark, sf_dir), edges("alternative", "vectors")]))
+    return relgraph.adjacency(relgraph.merged([edges("semantic", "semantic"), _label_edges(spark, sf_dir), edges("editorial", "vectors")]))
 
 
 SQL_merged_relationships = f"""
@@ -451,17 +449,33 @@ def latest_query_stats(spark, sf_dir):
 SQL_latest_query_stats = "SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS submitted, count(*) - 1 AS coalesced, count(*) FILTER (WHERE false) AS cleared, CAST(1 AS BIGINT) AS published FROM events GROUP BY user_id"
 
 
-def inspection_changes(spark, sf_dir):
-    """What changed between two snapshots of the labels' documents: by quality, and by toxicity."""
-    lab = _read(spark, sf_dir, "labels")
-    now = lab.where("toxic = 0").select(F.col("doc_id").alias("id"), F.col("quality").alias("state"), F.lit("x").alias("reason"))
-    before = lab.where("quality = 1").select(F.col("doc_id").alias("id"), (1 - F.col("toxic")).alias("state"), F.lit("x").alias("reason"))
-    return corpus.inspection_delta(now, before).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+_STATES = ("AUTO_ACCEPTED", "REVIEW_PENDING", "CONFLICT", "COMPILER_REJECTED")
 
 
-SQL_inspection_changes = """
-WITH a AS (SELECT doc_id, quality AS s FROM labels WHERE toxic = 0), b AS (SELECT doc_id, 1 - toxic AS s FROM labels WHERE quality = 1)
-SELECT CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM a FULL JOIN b USING (doc_id) GROUP BY 1"""
+def inspection_changes(spark, sf_dir):
+    """What changed between two snapshots of as many candidates as there are documents, whose evidence is drawn from their ids."""
+    ids = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("n")).distinct()
+
+    def snapshot(a: int, gone: int) -> DataFrame:
+        c, k = F.col("n"), F.col("n") * a
+        band = F.when(F.col("state") == "REVIEW_PENDING", F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")), (k % 3 + 1).cast("int")))
+        rows = ids.where(c % gone != 0).withColumn("state", F.element_at(F.array(*map(F.lit, _STATES)), (F.floor(k / 5) % 4 + 1).cast("int")))
+        return rows.select(F.concat(F.lit("eq:"), c).alias("id"), "state", band.alias("band"), (k % 2).alias("explicit_docs"), (F.floor(k / 2) % 2).alias("titles"), (F.floor(k / 3) % 7 == 0).alias("competing"), (F.floor(k / 7) % 9 == 0).alias("gained"), (c % 4 == 0).alias("decided"))
+
+    return corpus.inspection_delta(snapshot(1, 11), snapshot(6, 13))
+
+
+_SNAPSHOT = """SELECT 'eq:' || n AS id, state, CASE WHEN state = 'REVIEW_PENDING' THEN ['HIGH', 'MEDIUM', 'LOW'][n * {a} % 3 + 1] END AS band, n * {a} % 2 AS explicit, n * {a} // 2 % 2 AS titles, n * {a} // 3 % 7 = 0 AS competing, n * {a} // 7 % 9 = 0 AS gained, n % 4 = 0 AS decided
+FROM (SELECT DISTINCT doc_id AS n, ['AUTO_ACCEPTED', 'REVIEW_PENDING', 'CONFLICT', 'COMPILER_REJECTED'][doc_id * {a} // 5 % 4 + 1] AS state FROM documents) WHERE n % {gone} <> 0"""
+SQL_inspection_changes = f"""
+WITH cur AS ({_SNAPSHOT.format(a=1, gone=11)}), prev AS ({_SNAPSHOT.format(a=6, gone=13)}), r AS (SELECT 'HIGH' AS band, 0 AS o UNION ALL SELECT 'MEDIUM', 1 UNION ALL SELECT 'LOW', 2)
+SELECT coalesce(x.id, y.id) AS id, x.state AS state_now, y.state AS state_before,
+x.id IS NOT NULL AND y.id IS NOT NULL AND (x.state <> y.state OR coalesce(x.band, '') <> coalesce(y.band, '') OR (y.explicit = 0 AND x.explicit >= 1) OR (y.titles = 0 AND x.titles >= 1)
+  OR ((x.competing OR x.state = 'CONFLICT') AND NOT (y.competing OR y.state = 'CONFLICT')) OR (x.gained AND NOT y.gained)) AS material,
+CASE WHEN x.state = 'REVIEW_PENDING' THEN CASE WHEN y.id IS NULL THEN 'new' ELSE 'open' END END AS review,
+coalesce(x.state = 'CONFLICT' AND y.state IS DISTINCT FROM 'CONFLICT', false) AS conflict,
+CASE WHEN rx.o < ry.o THEN 'promoted' WHEN rx.o > ry.o THEN 'demoted' END AS moved, x.id IS NULL AND y.decided AS orphaned
+FROM cur x FULL JOIN prev y ON x.id = y.id LEFT JOIN r rx ON rx.band = x.band LEFT JOIN r ry ON ry.band = y.band"""
 
 
 def ranked_search(spark, sf_dir):

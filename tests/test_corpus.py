@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.errors import InvalidArtifactError
 from lexloom.operators import corpus, metrics, relgraph, semantic
@@ -28,7 +29,7 @@ def test_synonyms_and_vocabulary(docs):
     v = corpus.mine_vocabulary(docs)
     terms = {r["term"]: r for r in v.collect()}
     assert terms["auth"]["df"] == 3 and terms["auth"]["title_df"] == 2 and "moves" not in terms
-    assert {tuple(r["terms"]) for r in corpus.mine_synonyms(docs, v).collect()} >= {("authentication", "login"), ("auth", "authentication")} - {("auth", "authentication")}
+    assert {tuple(r["terms"]) for r in corpus.mine_synonyms(docs).collect()} >= {("authentication", "login"), ("auth", "authentication")} - {("auth", "authentication")}
 
 
 def test_lifecycle(spark):
@@ -52,11 +53,11 @@ def test_graphs(spark):
 def test_domain_relationships(spark):
     docs = spark.createDataFrame([("x", {"path": "/guides/x-one/"}), ("y", {}), ("z", {})], "id string, metadata map<string,string>")
     refs = relgraph.references(docs)
-    rows = spark.createDataFrame([("/guides/x-one", "y", "alternative", 0.5, None), ("y", "z", "next", None, "hand")], "source string, target string, type string, priority double, provenance string")
+    rows = spark.createDataFrame([("/guides/x-one", "y", "editorial", 0.5, None), ("y", "z", "supersedes", None, "hand")], "source string, target string, type string, priority double, provenance string")
     got = {(r["source"], r["target"], r["type"], r["strength"]) for r in relgraph.compiled_domain(rows, refs).collect()}
-    assert got == {("x", "y", "alternative", 0.5), ("y", "x", "alternative", 0.5), ("y", "z", "next", 1.0)}
+    assert got == {("x", "y", "editorial", 0.5), ("y", "x", "editorial", 0.5), ("y", "z", "supersedes", 1.0)}
     with pytest.raises(InvalidArtifactError):
-        relgraph.compiled_domain(spark.createDataFrame([("x", "gone", "next", None, None)], rows.schema), refs)
+        relgraph.compiled_domain(spark.createDataFrame([("x", "gone", "supersedes", None, None)], rows.schema), refs)
 
 
 def test_metrics(spark):
@@ -67,3 +68,22 @@ def test_metrics(spark):
     assert rows["r"]["ndcg_5"] is None and rows["r"]["mrr"] is None
     with pytest.raises(InvalidArtifactError):
         metrics.check_judgments(judged, ranked.select("query_id").distinct(), spark.createDataFrame([("a",), ("b",), ("c",)], "id string"))
+
+
+def test_rules_of_words(spark):
+    pairs = [("cat", "cats", True), ("cache", "caching", True), ("query", "queries", True), ("scaled", "scaling", False), ("auth", "authentication", False), ("install", "installing", True), ("encrypt", "encryption", False)]
+    rows = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select("a", "b", corpus.is_inflection(F.col("a"), F.col("b")).alias("x"), corpus.is_inflection(F.col("b"), F.col("a")).alias("y")).collect()
+    assert {(r["a"], r["b"]): (r["x"], r["y"]) for r in rows} == {(a, b): (w, w) for a, b, w in pairs}
+    counts = spark.createDataFrame([("auth", 4, 1), ("authentication", 5, 0), ("authorization", 5, 1), ("config", 3, 0), ("configuration", 3, 0), ("perf", 3, 1), ("performing", 9, 1), ("govern", 3, 1), ("governance", 2, 1)], "term string, df int, title_df int")
+    assert {tuple(r) for r in corpus.alias_pairs(counts).collect()} == {("auth", "authentication")}
+    terms = spark.createDataFrame([(t,) for t in ("s3", "k8s", "grpc", "utf8", "abc")], "t string").where(corpus.protected_literal(F.col("t"))).collect()
+    assert {r["t"] for r in terms} == {"s3", "k8s", "grpc"}
+
+
+def test_directional_relationships_go_one_way(spark):
+    docs = spark.createDataFrame([("x", {}), ("y", {})], "id string, metadata map<string,string>")
+    refs = relgraph.references(docs)
+    rows = spark.createDataFrame([("x", "y", "editorial", None, None, True)], "source string, target string, type string, priority double, provenance string, directional boolean")
+    assert [(r["source"], r["target"]) for r in relgraph.compiled_domain(rows, refs).collect()] == [("x", "y")]
+    with pytest.raises(InvalidArtifactError):
+        relgraph.compiled_domain(spark.createDataFrame([("x", "x", "editorial", None, None, None)], rows.schema), refs)
