@@ -11,6 +11,7 @@ from lexloom.functions.english import BUILT_IN, English
 from lexloom.functions.text import STOP_WORDS, allow_prefix, collapse_repeats, decode_leet, saturating, tokens
 from lexloom.functions.versions import compact_forms, dotted_spans
 from lexloom.operators import corpus, documents, metrics, postings, relgraph, relationships, semantic
+from lexloom.plans import rules
 from lexloom.plans.engine import SearchEngine
 from lexloom.streaming.latest_wins import latest, session_stats
 
@@ -521,8 +522,8 @@ _ALL = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in _ALL} | rules.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: globals()[f"SQL_{f.__name__}"] for f in _ALL if f"SQL_{f.__name__}" in globals()}
+    return {f.__name__: globals()[f"SQL_{f.__name__}"] for f in _ALL if f"SQL_{f.__name__}" in globals()} | rules.ORACLES
