@@ -33,6 +33,11 @@ SPAN_BANDS = 4
 CHUNK = 1 << 18
 #: Keys that a task keeps, so as not to send the bands of one paragraph again and again.
 SEEN = 1 << 20
+#: Grams of buckets that are compared at once, or of one bucket if that has more; and of pairs that are compared at once.
+HELD = 1 << 19
+#: Paragraphs that a rare gram must have for one of them, in each of so many rounds, to be compared with the others first.
+MANY = 16
+ROUNDS = 2
 _PLACE = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("key", pa.int64())])
 _PLACE_KIND = "rk bigint, doc_id bigint, paragraph int, start_word int, n_words int, key bigint"
 
@@ -204,6 +209,127 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("jaccard", common / (F.size("ga") + F.size("gb") - common)).drop("ga", "gb")
 
 
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the least place of its component, once the places a are joined with b."""
+    label = label.copy()
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            return label
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def joined_within(bucket: np.ndarray, like: np.ndarray, size: np.ndarray, grams: np.ndarray, threshold: float) -> np.ndarray:
+    """The least place of the component of each paragraph, as if all pairs of each bucket had been compared.
+
+    bucket numbers each paragraph's bucket, size its grams, which `grams` has one set after the other; those of a bucket
+    that are like its hub are joined from the start. A pair at the threshold shares one of the rarest grams of both (prefix
+    filter): of the larger set the first size - threshold x size + 1, of the smaller fewer still. Paragraphs that share only
+    what the whole bucket has in common never meet, and those that are joined already aren't compared again.
+    """
+    n = len(size)
+    owner, start, label = np.repeat(np.arange(n), size), np.cumsum(size) - size, np.arange(n)
+    liked = np.flatnonzero(like)
+    _, first, of = np.unique(bucket[liked], return_index=True, return_inverse=True)
+    label[liked] = liked[first][of]
+    _, gram, count = np.unique(bucket[owner].astype(np.uint64) << np.uint64(32) | grams, return_inverse=True, return_counts=True)
+    gram = gram[np.lexsort((gram, count[gram], owner))]
+    place = np.arange(len(gram)) - start[owner]
+    probed, indexed = (size - np.ceil(share * size - 1e-9).astype(np.int64) + 1 for share in (threshold, 2 * threshold / (1 + threshold)))
+    at = np.flatnonzero((place < probed[owner]) & (count[gram] > 1))
+    at = at[np.argsort(gram[at], kind="stable")]
+    row, short = owner[at], place[at] < indexed[owner[at]]
+    # Lists of the paragraphs that have a gram among their rarest.
+    _, number = np.unique(gram[at], return_inverse=True)
+    begin = np.searchsorted(number, np.arange(number[-1] + 2 if len(number) else 1))
+
+    def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """label once those of the pairs (a, b) that are alike are joined."""
+        open_pairs = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+        pair = np.unique(np.minimum(a, b)[open_pairs] * n + np.maximum(a, b)[open_pairs])
+        a, b = pair // n, pair % n
+        done = np.cumsum(size[a] + size[b])
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + HELD, "right")))
+            both = np.concatenate((a[lo:hi], b[lo:hi]))
+            k = size[both]
+            where = np.arange(k.sum()) + np.repeat(start[both] - np.cumsum(k) + k, k)
+            each = np.repeat(np.tile(np.arange(hi - lo, dtype=np.uint64), 2), k) << np.uint64(32) | gram[where].astype(np.uint64)
+            each.sort()
+            common = np.bincount((each[1:][each[1:] == each[:-1]] >> np.uint64(32)).astype(np.int64), minlength=hi - lo)
+            alike = common / (k[: hi - lo] + k[hi - lo :] - common) >= threshold
+            label = join_labels(label, a[lo:hi][alike], b[lo:hi][alike])
+            lo = hi
+        return label
+
+    shorts = np.flatnonzero(short)
+    edge = np.searchsorted(number[shorts], np.arange(len(begin)))
+    for turn in range(ROUNDS):
+        many = np.flatnonzero((np.diff(begin) >= MANY) & (np.diff(edge) > 0))
+        if len(many):
+            chosen = row[shorts[edge[many] + mix(many.astype(np.uint64) + np.uint64(turn << 32)).astype(np.int64) % np.diff(edge)[many]]]
+            length = np.diff(begin)[many]
+            others = row[np.arange(length.sum()) + np.repeat(begin[many] - np.cumsum(length) + length, length)]
+            label = joined(label, np.repeat(chosen, length), others)
+    # What is left are pairs of one list and different components, which lie together in it.
+    by = np.lexsort((label[row], number))
+    row, short, number = row[by], short[by], number[by]
+    new = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (label[row][1:] != label[row][:-1])))) if len(row) else number
+    block = np.searchsorted(new, np.arange(len(row)), "right")
+    ends = np.append(new, len(row))
+    shorts = np.flatnonzero(short)
+    lows = np.concatenate((begin[number[shorts]], ends[block[shorts]]))
+    length = np.concatenate((new[block[shorts] - 1], begin[number[shorts] + 1])) - lows
+    own = np.concatenate((row[shorts], row[shorts]))
+    lows, length, own = lows[length > 0], length[length > 0], own[length > 0]
+    done = np.cumsum(length)
+    lo = 0
+    while lo < len(own):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + HELD, "right")))
+        k = length[lo:hi]
+        a, b = np.repeat(own[lo:hi], k), row[np.arange(k.sum()) + np.repeat(lows[lo:hi] - np.cumsum(k) + k, k)]
+        larger = (size[b] > size[a]) | (size[b] == size[a]) & (b > a)
+        label = joined(label, a[larger], b[larger])
+        lo = hi
+    return label
+
+
+def _joined(threshold: float):
+    """Links (a, b) that join the like paragraphs of each bucket of a partition that is sorted by band."""
+
+    def links(bands: pa.Table) -> pa.RecordBatch:
+        band, key = (bands.column(c).to_numpy() for c in ("band", "key"))
+        sets = bands.column("grams").combine_chunks()
+        bucket = np.cumsum(np.concatenate(([0], band[1:] != band[:-1])))
+        size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        label = joined_within(bucket, bands.column("like").to_numpy(), size, sets.flatten().to_numpy().view(np.uint32), threshold)
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(key[label[other]]), pa.array(key[other])], ["a", "b"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, grams = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            grams += len(batch.column("grams").flatten())
+            if grams >= HELD:
+                table = pa.Table.from_batches(held)
+                band = table.column("band").to_numpy()
+                whole = int(np.searchsorted(band, band[-1]))
+                if whole:
+                    yield links(table.slice(0, whole))
+                    held = table.slice(whole).to_batches()
+                    grams = sum(len(b.column("grams").flatten()) for b in held)
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return joined
+
+
 def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, span: int = SPAN, reach: int = REACH, span_bands: int = SPAN_BANDS) -> DataFrame:
     """(doc_id, paragraph, start_word, n_words, cluster, first_doc_id, remove): the paragraphs that have a like in another document.
 
@@ -214,8 +340,9 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_wor
     components; all but the first of a cluster (least id, then place) are to be removed. Shorter lines are no paragraphs
     of their own: they are covered by the stretches that run over them.
 
-    In a band's bucket each paragraph is compared with the least one; those unlike it are compared with all others of the
-    bucket, so clusters are as if all had been. Equal paragraphs count once there. Texts that are null or empty have no
+    In a band's bucket each paragraph is compared with the least one; where some are unlike it, the bucket's gram sets go to
+    one task, which compares those that share a rare gram and aren't joined yet, so clusters are as if all pairs had been
+    compared, while what moves follows the paragraphs and not their pairs. Equal paragraphs count once there. Texts that are null or empty have no
     paragraphs; rows that repeat id and text are one document, reported once; a null id sorts last; texts are read whole;
     an empty table gives an empty one.
     """
@@ -233,10 +360,11 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_wor
     wanted = keys.where("collides").groupBy(F.col("lo").alias("rk")).agg(F.collect_list(place).alias("wanted"))
     sets = written(keyed.join(wanted, "rk").select("text", "wanted").mapInArrow(_grams(gram), "key bigint, grams array<int>").dropDuplicates(["key"]), "grams")
     to_hub = written(_verified(colliding.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), sets), "to-hub")
-    unlike = to_hub.where(F.col("jaccard") < threshold).select(F.col("a").alias("hub"), F.col("b").alias("key"))
-    open_rows = colliding.join(unlike, ["hub", "key"]).select("band", F.col("key").alias("x"))
-    others = open_rows.join(colliding.where("key != hub").select("band", "key"), "band").where("x != key").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    edges = to_hub.where(F.col("jaccard") >= threshold).unionByName(_verified(others, sets).where(F.col("jaccard") >= threshold)).select("a", "b")
+    near = F.col("jaccard") >= threshold
+    rows_of = colliding.join(to_hub.select(F.col("a").alias("hub"), F.col("b").alias("key"), near.alias("like")), ["hub", "key"]).select("band", "key", "like")
+    unsettled = rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bool_and("like").alias("settled")).where("n > 1 and not settled").select("band")
+    in_buckets = rows_of.join(unsettled, "band").join(sets, "key").repartition("band").sortWithinPartitions("band")
+    edges = to_hub.where(near).select("a", "b").unionByName(in_buckets.mapInArrow(_joined(threshold), "a bigint, b bigint"))
     joined = components(edges)
     roots = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
     discard(colliding, sets, to_hub)
