@@ -1,0 +1,63 @@
+"""What steps of queries hold at most, on tables small enough to be compared with brute force."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from lexloom.operators import nearest, semantic
+from lexloom.plans import registry
+
+
+def last_execution(spark):
+    spark.range(1).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    return max(e.executionId() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.sharedState().statusStore().executionsList()))
+
+
+def most_rows(spark, since):
+    """The most rows that any step of the executions after `since` put out."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    store, convert, most = spark._jsparkSession.sharedState().statusStore(), spark._jvm.scala.jdk.javaapi.CollectionConverters, 0
+    for e in convert.asJava(store.executionsList()):
+        if e.executionId() > since:
+            values = {int(k): v for k, v in dict(convert.asJava(store.executionMetrics(e.executionId()))).items()}
+            for node in convert.asJava(store.planGraph(e.executionId()).allNodes()):
+                for m in convert.asJava(node.metrics()):
+                    if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())):
+                        most = max(most, int(v.replace(",", "")))
+    return most
+
+
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    """600 vectors that are all alike, of which one stands five times."""
+    r = random.Random(3)
+    rows = [(i, [1 + r.random() for _ in range(64)], i % 3) for i in range(600)]
+    rows += [(600 + i, rows[7][1], 1) for i in range(4)]
+    at = str(tmp_path_factory.mktemp("vectors"))
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{at}/embeddings.parquet")
+    return at, rows
+
+
+@pytest.mark.parametrize("name", ["embedding_neighbours", "adaptive_neighbours", "fused_neighbours", "mutual_neighbours", "merged_relationships", "related_one_hop"])
+def test_pairs_of_vectors_are_no_rows(spark, vectors, name):
+    at, rows = vectors
+    since = last_execution(spark)
+    registry.queries()[name](spark, at).collect()
+    assert 0 < most_rows(spark, since) < 40 * len(rows)  # all pairs are 301 for each
+
+
+@pytest.mark.parametrize("block, group", [(8192, 131_072), (50, 131_072), (64, 100)])
+def test_blocks_and_groups_of_vectors_give_one_graph(spark, vectors, monkeypatch, block, group):
+    at, rows = vectors
+    monkeypatch.setattr(nearest, "GROUP", group)
+    got = {(r["source"], r["target"], r["rank"]): r["score"] for r in semantic.embedding_graph(registry._vectors(spark, at), 5, digits=6, block=block).collect()}
+    unit = [[x / sum(y * y for y in v) ** 0.5 for x in v] for _, v, _ in rows]
+    want = {}
+    for i, a in enumerate(unit):
+        near = sorted((-round(sum(x * y for x, y in zip(a, b)), 6), j) for j, b in enumerate(unit) if j != i)
+        want |= {(i, j, rank): -s for rank, (s, j) in enumerate(near[:5], 1)}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert [(7, 600 + i, i + 1) in got for i in range(4)] == [True] * 4
