@@ -61,3 +61,14 @@ def test_blocks_and_groups_of_vectors_give_one_graph(spark, vectors, monkeypatch
         want |= {(i, j, rank): -s for rank, (s, j) in enumerate(near[:5], 1)}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
     assert [(7, 600 + i, i + 1) in got for i in range(4)] == [True] * 4
+
+
+def test_one_hop_follows_every_vector_of_a_label(spark, vectors):
+    at, rows = vectors
+    label = {i: x for i, _, x in rows}
+    graph = {(r["source"], r["target"]) for r in registry.embedding_neighbours(spark, at).collect()}
+    got = {(r["query_id"], r["id"]): r["sources"] for r in registry.related_one_hop(spark, at).collect()}
+    want = {}
+    for s, t in graph:
+        want[label[s], t] = want.get((label[s], t), 0) + 1
+    assert got == want
