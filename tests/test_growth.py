@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lexloom.operators import nearest, semantic
+from lexloom.operators import corpus, nearest, semantic
 from lexloom.plans import registry
 
 
@@ -72,3 +73,24 @@ def test_one_hop_follows_every_vector_of_a_label(spark, vectors):
     for s, t in graph:
         want[label[s], t] = want.get((label[s], t), 0) + 1
     assert got == want
+
+
+def test_phrases_before_acronyms_are_those_of_the_rule(spark):
+    r = random.Random(8)
+    parts = ["Content", "delivery", "network", "of", "a/b", "9th", "3x", "it's", "x-y", "(CDN)", "( CDN )", "(Cd N)", "(cdn)", "()", "(", ")", "e.g.", "é", "CDN", "ABC", "-", "(ABc9)", "((CDN))", "1a2b"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([(str(i), x, "") for i, x in enumerate(texts)], "id string, title string, body string")
+    _, pattern, key_at, phrase_at = corpus._RULES[0]
+    pairs = F.arrays_zip(F.regexp_extract_all("title", F.lit(pattern), F.lit(key_at)).alias("k"), F.regexp_extract_all("title", F.lit(pattern), F.lit(phrase_at)).alias("p"))
+    want = sorted((x["id"], x["p"]["k"], x["p"]["p"]) for x in docs.select("id", F.explode(pairs).alias("p")).collect())
+    assert len(want) > 100 and sorted((x["id"], x["surface"], x["said"]) for x in corpus._phrases_before(docs).collect()) == want
+
+
+def test_mining_writes_no_phrase_that_no_acronym_asks_for(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("bcdfg") for _ in range(7)) for _ in range(400)]
+    docs = spark.createDataFrame([(str(i), "", " ".join(r.choice(words) for _ in range(500)) + (" Quick Zebra (QZ)" if i < 3 else "")) for i in range(30)], "id string, title string, body string")
+    since = last_execution(spark)
+    got = {x["id"]: x for x in corpus.mine_equivalences(docs).collect()}
+    assert set(got) == {"eq:qz:quick-zebra"} and got["eq:qz:quick-zebra"]["phrase_df"] == 3
+    assert most_rows(spark, since) < 2000  # the phrases of two to six words are 74,000
