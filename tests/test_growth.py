@@ -94,3 +94,29 @@ def test_mining_writes_no_phrase_that_no_acronym_asks_for(spark):
     got = {x["id"]: x for x in corpus.mine_equivalences(docs).collect()}
     assert set(got) == {"eq:qz:quick-zebra"} and got["eq:qz:quick-zebra"]["phrase_df"] == 3
     assert most_rows(spark, since) < 2000  # the phrases of two to six words are 74,000
+
+
+@pytest.fixture(scope="module")
+def prose(spark, tmp_path_factory):
+    """40 documents of 500 words of their own and three that all have; items ask for the three and some."""
+    r = random.Random(6)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+    texts = [" ".join(["alpha"] + words(500) + ["beta", "gamma"] * (i % 3)) for i in range(40)]
+    at = str(tmp_path_factory.mktemp("prose"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (2, "gamma " + texts[5].split()[9])], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["search_bm25", "search_bm25_whole"])
+def test_words_that_no_query_asks_for_are_no_rows(spark, prose, name):
+    since = last_execution(spark)
+    got = registry.queries()[name](spark, prose).collect()
+    assert len(got) == 10 and most_rows(spark, since) < 1000  # postings are 20,000 for each field
+
+
+@pytest.mark.parametrize("name", ["phrase_frequencies", "document_frequencies"])
+def test_words_are_not_counted_by_several_shuffles(spark, prose, name):
+    """Words are counted in their tasks, then one shuffle by word; before, a shuffle by document and word came first."""
+    plan = registry.queries()[name](spark, prose)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
