@@ -120,3 +120,13 @@ def test_words_are_not_counted_by_several_shuffles(spark, prose, name):
     """Words are counted in their tasks, then one shuffle by word; before, a shuffle by document and word came first."""
     plan = registry.queries()[name](spark, prose)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_pairs_of_titles_are_no_rows(spark, tmp_path):
+    """Titles that share a word meet as blocks, not as rows."""
+    r = random.Random(9)
+    texts = ["common " + "".join(r.choice("abcdefgh") for _ in range(6)) + f" {i % 7}7" for i in range(500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    since = last_execution(spark)
+    assert len(registry.lexical_neighbours(spark, str(tmp_path)).collect()) == 2500
+    assert most_rows(spark, since) < 40 * len(texts)  # all pairs are 249 for each
